@@ -81,7 +81,7 @@ def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     """A hashed bitmap of ``bits`` (a power of two) bits, as bytes."""
     out = np.zeros(bits, np.uint8)
     out[(hashes >> np.uint64(7)) & np.uint64(bits - 1)] = 1
-    return np.packbits(out)
+    return np.packbits(out, bitorder="little")
 
 
 def bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
@@ -89,14 +89,31 @@ def bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
     return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
 
 
+def bits_for(n: int) -> int:
+    """The width of a size's bitmap."""
+    return 1 << max(6, (2 * n).bit_length())
+
+
+def folded(a: np.ndarray, to: int) -> np.ndarray:
+    """A bitmap as it would be with fewer bits: bit i stands for all that are i modulo the new width."""
+    while len(a) > to:
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    return a
+
+
+def plausible(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether two sets with these bitmaps and sizes may be similar."""
+    if not n or not m or 100 * min(n, m) < percent * max(n, m):
+        return False
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    return bound(folded(x, width), folded(y, width), n, m) >= -(-percent * (n + m) // (100 + percent))
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |a & b| >= percent * |a | b|, for sorted arrays without repeats."""
     n, m = len(a), len(b)
-    if not n or not m or 100 * min(n, m) < percent * max(n, m):
-        return False
-    bits = 1 << max(6, (2 * max(n, m)).bit_length())
-    least = -(-percent * (n + m) // (100 + percent))
-    if bound(bitmap(a, bits), bitmap(b, bits), n, m) < least:
+    if not n or not m:
         return False
     both = np.concatenate((a, b))
     both.sort(kind="stable")
@@ -135,7 +152,7 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, b band, digest of the set, prefix of the set) of every document."""
+    """(id, n, b band, digest of the set, bits its bitmap, prefix of the set) of every document."""
     order = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +169,26 @@ def _sketches(texts: DataFrame, frequent: np.ndarray, width: int, percent: int)
                         "n": pa.array(n),
                         "b": pa.array(band(n, percent)),
                         "digest": pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
+                        "bits": pa.array([bitmap(h, bits_for(len(h))).tobytes() for h in sets], pa.binary()),
                         "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     }
                 )
 
-    return texts.mapInArrow(run, "id long, n long, b long, digest binary, prefix array<long>")
+    return texts.mapInArrow(run, "id long, n long, b long, digest binary, bits binary, prefix array<long>")
+
+
+def _plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that sizes and bitmaps leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a", "b", "n", "m")]
+            keep = pa.array([plausible(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    a = signs.select(F.col("id").alias("u"), F.col("n"), F.col("bits").alias("a"))
+    b = signs.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "n", "m").mapInArrow(run, "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -170,15 +202,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            keep = [similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
-            yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, k in zip(u, keep, strict=True) if k], pa.int64()), "v": pa.array([x for x, k in zip(v, keep, strict=True) if k], pa.int64())})
+            sets = zip(batch.column("a"), batch.column("b"), strict=True)
+            keep = pa.array([similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     sets = texts.join(ids, "id", "left_semi").mapInArrow(hashed, "id long, set binary")
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("a"))
     b = sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -205,9 +237,14 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     tiles = posting.withColumn("members", F.count(F.lit(1)).over(near)).withColumn("first", F.min(F.struct("id", "n")).over(near)).where("members > 1")
     tiles = scratch.save("tiles", tiles.select("shingle", "id", "n", "b", F.col("first.id").alias("head"), F.col("first.n").alias("head_n")))
 
+    signs = scratch.save("signs", sketches.where("n > 0").select("id", "n", "bits"))
+    scratch.drop("sketches")
+    scratch.release()
+
     fits = f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)"
     star = scratch.save("star", tiles.where(f"id <> head and {fits}").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct())
-    found = scratch.save("found", _verified(star, texts, width, percent))
+    found = scratch.save("found", _verified(scratch.save("star1", _plausible(star, signs, percent)), texts, width, percent))
+    scratch.release()
     joined = components(found, scratch, "cc1")
 
     # What is left: tiles that still hold two components.
@@ -218,7 +255,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     y = rest.select("shingle", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
     more = x.join(y, ["shingle", "b"]).where(f"u < v and ru <> rv and 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
     more = scratch.save("more", more)
-    found2 = scratch.save("found2", _verified(more, texts, width, percent))
+    found2 = scratch.save("found2", _verified(scratch.save("more1", _plausible(more, signs, percent)), texts, width, percent))
+    scratch.release()
 
     same = classes.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
     roots = components(found.unionByName(found2).unionByName(same), scratch, "cc2")
