@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,6 +75,53 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
+def in_tiles(rows: DataFrame, key: Sequence[str], spread: Column, most: int) -> DataFrame:
+    """``rows`` dealt into tiles for ``tile_pairs``: a key with more than ``most`` rows is split by hash.
+
+    Adds part, low and high. Each row goes to the tile of every pair (low, high) of parts that has its
+    own, so any two rows of a key meet in one tile, and a tile holds about twice ``most`` rows at most.
+    """
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("_n > 1")
+    counted = counted.withColumn("_parts", F.ceil(F.col("_n") / most).cast("int")).withColumn("part", F.pmod(spread, F.col("_parts")).cast("int"))
+    dealt = counted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.withColumn("low", F.least("part", "_other")).withColumn("high", F.greatest("part", "_other")).drop("_other", "_parts", "_n")
+    tile = [*key, "low", "high"]
+    return dealt.repartition(*[F.col(c) for c in tile]).sortWithinPartitions(*tile)
+
+
+def tile_pairs(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[tuple[pa.Table, pa.Table | None]]:
+    """Of sorted tiles: (rows, None) whose rows are to be compared with each other, or (rows, other rows)."""
+    names, held = [*key, "low", "high"], None
+
+    def cut(table: pa.Table) -> list[pa.Table]:
+        change = np.zeros(len(table), bool)
+        for c in names:
+            x = table.column(c).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        ends = [*np.flatnonzero(change).tolist(), len(table)]
+        return [table.slice(a, b - a) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def whole(found: list[pa.Table]) -> Iterator[tuple[pa.Table, pa.Table | None]]:
+        for g in found:
+            if len(g) > 1:
+                low = g.column("low")[0].as_py()
+                if low == g.column("high")[0].as_py():
+                    yield g, None
+                    continue
+                side = g.column("part").to_numpy() == low
+                if side.any() and not side.all():
+                    yield g.filter(pa.array(side)), g.filter(pa.array(~side))
+
+    for batch in batches:
+        if len(batch):
+            table = pa.Table.from_batches([batch])
+            found = cut(pa.concat_tables([held, table]) if held is not None else table)
+            held = found.pop()
+            yield from whole(found)
+    if held is not None:
+        yield from whole([held])
+
+
 def dealt_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Column, out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
     """``df`` with ``out``: a gapless position from 0 among the rows of equal ``keys``.
 

@@ -6,11 +6,12 @@
    each, in any order that is the same for all sets. The order here puts shingles that a bounded
    sample of documents repeats last, and is by hash otherwise. A tile is one shingle and one band of
    sizes: what cannot be similar by size does not meet. Tiles of one class end here.
-3. In each tile every class is compared with the tile's smallest one. A comparison first bounds the
+3. In each shingle's tiles every class is compared with the smallest one. A comparison first bounds the
    overlap from above by the bits that one hashed bitmap has and the other lacks, and only then
    intersects the sorted arrays. Pairs found are joined to components.
-4. Tiles in which two components are left are compared in full, between components only. So copies
-   are linked without all pairs of a group, and no link between different components is missed.
+4. Tiles in which two components are left are compared in full, between components only, and in
+   blocks, of which only pairs go on that their bitmaps leave. So copies are linked without all pairs
+   of a group, and no link between different components is missed.
 
 The similarity test is in integers: 100 * overlap >= percent * union.
 """
@@ -26,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, components, text_slices
+from ledgerloom.llm.common import Scratch, components, in_tiles, text_slices, tile_pairs
 
 #: Documents sampled for the order of the shingles, and in how many of them a shingle is frequent. Only the speed depends on these.
 SAMPLE_DOCS, FREQUENT = 4096, 3
+#: Rows of a tile compared with each other at a time, and what makes a tile.
+TILE, KEY = 512, ["shingle", "tile"]
 #: Word hashes that a worker remembers.
 REMEMBERED = 500_000
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -191,6 +194,58 @@ def _plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "n", "m").mapInArrow(run, "u long, v long").distinct()
 
 
+def _tile_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of different components in a tile that sizes and bitmaps leave.
+
+    ``rest`` has shingle, b, id, n, root and bits. A tile holds the rows of one shingle and band, and
+    those of the next band to compare them with. Bitmaps of equal width are compared as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, two in tile_pairs(batches, KEY):
+            a = _Block(one)
+            b = a if two is None else _Block(two)
+            for wide, rows in a.widths.items():
+                for other, columns in b.widths.items():
+                    x, y = a.folded(wide, min(wide, other)), b.folded(other, min(wide, other))
+                    for k in range(0, len(rows), 64):
+                        i = rows[k : k + 64]
+                        shared = np.bitwise_count(x[k : k + 64, None, :] & y[None]).sum(2, dtype=np.int64)
+                        n, m = a.n[i][:, None], b.n[columns][None]
+                        most = np.minimum(n - np.bitwise_count(x[k : k + 64]).sum(1, dtype=np.int64)[:, None], m - np.bitwise_count(y).sum(1, dtype=np.int64)[None]) + shared
+                        keep = (most * (100 + percent) >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                        keep &= (a.root[i][:, None] != b.root[columns][None]) & (a.own[i][:, None] | b.own[columns][None])
+                        if two is None:
+                            keep &= a.id[i][:, None] < b.id[columns][None]
+                        p, q = np.nonzero(keep)
+                        if len(p):
+                            u, v = a.id[i[p]], b.id[columns[q]]
+                            yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    own = rest.withColumn("tile", F.explode(F.array(F.col("b"), F.col("b") - 1))).withColumn("own", F.col("tile") == F.col("b")).drop("b")
+    tiles = in_tiles(own, KEY, F.xxhash64("id"), TILE).select("shingle", "tile", "low", "high", "part", "id", "n", "root", "own", "bits")
+    return tiles.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+
+
+class _Block:
+    """The columns of a tile's rows, and their bitmaps by width."""
+
+    def __init__(self, table: pa.Table):
+        self.id, self.n, self.root = (table.column(c).to_numpy() for c in ("id", "n", "root"))
+        self.own = table.column("own").to_numpy(zero_copy_only=False)
+        bits = table.column("bits").to_pylist()
+        size = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.widths = {w: np.flatnonzero(size == w) for w in np.unique(size).tolist()}
+        self.maps = {w: np.frombuffer(b"".join(bits[i] for i in rows), np.uint64).reshape(len(rows), -1) for w, rows in self.widths.items()}
+
+    def folded(self, wide: int, to: int) -> np.ndarray:
+        x = self.maps[wide]
+        while wide > to:
+            wide //= 2
+            x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+        return x
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose documents are similar."""
 
@@ -251,11 +306,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     named = tiles.drop("head", "head_n").join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     rest = named.withColumn("lo", F.min("root").over(near)).withColumn("hi", F.max("root").over(near)).where("lo < hi").drop("lo", "hi")
     rest = scratch.save("rest", rest)
-    x = rest.select("shingle", "b", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    y = rest.select("shingle", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    more = x.join(y, ["shingle", "b"]).where(f"u < v and ru <> rv and 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
-    more = scratch.save("more", more)
-    found2 = scratch.save("found2", _verified(scratch.save("more1", _plausible(more, signs, percent)), texts, width, percent))
+    more = scratch.save("more", _tile_pairs(rest.join(signs.select("id", "n", "bits"), ["id", "n"]), percent).join(star, ["u", "v"], "left_anti"))
+    found2 = scratch.save("found2", _verified(more, texts, width, percent))
     scratch.release()
 
     same = classes.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()

@@ -6,36 +6,126 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+#: (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.chat import chat_digests
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_digests(given.unionByName(extra))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.urlfilter import url_verdicts
+
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.webp import media, media_digests
 
     return media_digests(media(table(spark, sf_dir, "documents")))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.pfair import mix_places
+
+    return mix_places(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.bpe import bpe
 
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.lsh import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.jaccard import jaccard_classes
 
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_shard_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.sharding import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_media_webp, op6_byte_bpe, op9_ngram_jaccard)}
+    every = (op1_chat_format, op2_url_filters, op3_media_webp, op4_pfair_mix, op5_toxicity, op6_byte_bpe, op7_quality_fm, op8_embedding_lsh, op9_ngram_jaccard, op10_shard_propagation)
+    return {f.__name__: f for f in every}
+
+
+_ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g')"""
+
+OP1_SQL = f"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), said AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+         sum(length('<|im_start|>') + length({_ESCAPED.format("replace(replace(role, '%', '%25'), chr(10), '%0A')")}) + 1
+             + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1) AS formatted_chars
+  FROM given GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM said
+"""
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+OP2_SQL = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(h, p, v) AS (VALUES {_RULES}), fits AS (
+  SELECT page_id, host, path, h || p AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT parts.page_id, parts.host, parts.path, fits.rule, coalesce(fits.v, 'allow') AS verdict
+FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND fits.n = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL, "op2_url_filters": OP2_SQL}
