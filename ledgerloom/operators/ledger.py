@@ -32,7 +32,7 @@ def balances(accounts: DataFrame, entries: DataFrame) -> DataFrame:
 def balance_of(accounts: DataFrame, entries: DataFrame, code: str) -> DataFrame:
     """The balance of one account, from its entries alone; no row for an unknown code."""
     one = accounts.where(F.col("code") == code)
-    return balances(one, entries.join(F.broadcast(one.select("id").limit(1)), entries["account_id"] == F.col("id"), "left_semi"))
+    return balances(one, entries.join(F.broadcast(one.select(F.col("id").alias("_one")).limit(1)), F.col("account_id") == F.col("_one"), "left_semi"))
 
 
 def refreshed_cache(cache: DataFrame, entries: DataFrame, accounts: DataFrame, posted: DataFrame) -> DataFrame:
