@@ -94,7 +94,7 @@ def bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
 
 def bits_for(n: int) -> int:
     """The width of a size's bitmap."""
-    return 1 << max(6, (2 * n).bit_length())
+    return 1 << max(6, n.bit_length())
 
 
 def folded(a: np.ndarray, to: int) -> np.ndarray:
@@ -303,7 +303,12 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     joined = components(found, scratch, "cc1")
 
     # What is left: tiles that still hold two components.
-    named = tiles.drop("head", "head_n").join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    # Of tiles with the same members one is enough; a passage that documents share makes many such.
+    h = F.xxhash64("id", "n")
+    low32 = F.lit(0xFFFFFFFF).cast("long")
+    members = [F.count(F.lit(1)).alias("c"), F.sum(h.bitwiseAND(low32)).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("y"), F.sum(F.xxhash64("n", "id").bitwiseAND(low32)).alias("z")]
+    chosen = tiles.groupBy("shingle").agg(*members).groupBy("c", "x", "y", "z").agg(F.min("shingle").alias("shingle")).select("shingle")
+    named = tiles.drop("head", "head_n").join(chosen, "shingle", "left_semi").join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     rest = named.withColumn("lo", F.min("root").over(near)).withColumn("hi", F.max("root").over(near)).where("lo < hi").drop("lo", "hi")
     rest = scratch.save("rest", rest)
     more = scratch.save("more", _tile_pairs(rest.join(signs.select("id", "n", "bits"), ["id", "n"]), percent).join(star, ["u", "v"], "left_anti"))
