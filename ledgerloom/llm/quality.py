@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import text_slices
 
@@ -149,7 +150,7 @@ class Machine:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str, key: str) -> list[tuple[str, int]]:
     """Texts and labels of at most ``sample`` labelled rows that are not held out, picked by hash."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(F.col(key))).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_label"))
-    picked = known.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    picked = known.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
     got = rows.select("_id", "_text", "_label").orderBy(F.xxhash64("_id"), "_id", "_text").limit(sample).collect()
     return [(r["_text"], r["_label"]) for r in got]
@@ -167,39 +168,35 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality", sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All columns of every row of ``docs`` (a null key included), and _score double, _predicted int."""
+    """(row, score, predicted) of every row of ``docs``; row is the whole row, whatever its columns' names."""
     machine = fitted(docs, labels, label, sample, text, key)
     sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
-    return scored(docs, text, threshold, _scorer(sent))
 
-
-def _scorer(sent):
     def score(texts: list[str]) -> list[float]:
         m = Machine.__new__(Machine)
         m.bias, m.w, m.v = sent.value
         return [m.score(t) for t in texts]
 
-    return score
+    return scored(docs, text, threshold, score)
 
 
 def scored(docs: DataFrame, text: str, threshold: float, score) -> DataFrame:
-    """``docs`` with _score and _predicted by a function of lists of texts; rows keep their other columns."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
-    names = docs.columns
+    """(row, score, predicted) by a function from texts to scores. No shuffle."""
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text):
-                s = score([t or "" for t in part.column(text).to_pylist()])
-                columns = [part.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*names, "_score", "_predicted"])
+            rows = batch.column(0)
+            both = pa.RecordBatch.from_arrays([rows, rows.field(place)], names=["row", "text"])
+            for part in text_slices(both, "text"):
+                s = score([t or "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["row", "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, score, predicted) of every row of ``docs``."""
-    rows = quality_scores(docs, labels, threshold, "quality", sample, text, key) if text == "text" and set(docs.columns) == {text, key} else quality_scores(docs.select(key, text), labels, threshold, "quality", sample, text, key)
-    return rows.select(key, is_held_out(F.col(key)).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    rows = quality_scores(docs.select(key, text), labels, threshold, "quality", sample, text, key)
+    return rows.select(F.col(f"row.{key}").alias(key), is_held_out(F.col(f"row.{key}")).alias("held_out"), "score", "predicted")
