@@ -76,16 +76,19 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
-def in_tiles(rows: DataFrame, key: Sequence[str], spread: Column, most: int) -> DataFrame:
+def in_tiles(rows: DataFrame, key: Sequence[str], spread: Column, most: int, payload: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
     """``rows`` dealt into tiles for ``tile_pairs``: a key with more than ``most`` rows is split by hash.
 
     Adds part, low and high. Each row goes to the tile of every pair (low, high) of parts that has its
     own, so any two rows of a key meet in one tile, and a tile holds about twice ``most`` rows at most.
+    Wide columns come from ``payload``, joined ``on`` its key when the rows' tiles are known, so that they move once.
     """
     counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("_n > 1")
     counted = counted.withColumn("_parts", F.ceil(F.col("_n") / most).cast("int")).withColumn("part", F.pmod(spread, F.col("_parts")).cast("int"))
     dealt = counted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     dealt = dealt.withColumn("low", F.least("part", "_other")).withColumn("high", F.greatest("part", "_other")).drop("_other", "_parts", "_n")
+    if payload is not None:
+        dealt = dealt.join(payload, list(on))
     tile = [*key, "low", "high"]
     return dealt.repartition(*[F.col(c) for c in tile]).sortWithinPartitions(*tile)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import Scratch, components, in_tiles, text_slices, tile_pairs
 
 #: Documents sampled for the order of the shingles, and in how many of them a shingle is frequent. Only the speed depends on these.
-SAMPLE_DOCS, FREQUENT = 4096, 3
+SAMPLE_DOCS, FREQUENT = 16384, 2
 #: Rows of a tile compared with each other at a time, and what makes a tile.
 TILE, KEY = 512, ["shingle", "tile"]
 #: Word hashes that a worker remembers.
@@ -194,11 +194,12 @@ def _plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "n", "m").mapInArrow(run, "u long, v long").distinct()
 
 
-def _tile_pairs(rest: DataFrame, percent: int) -> DataFrame:
+def _tile_pairs(rest: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of different components in a tile that sizes and bitmaps leave.
 
-    ``rest`` has shingle, b, id, n, root and bits. A tile holds the rows of one shingle and band, and
-    those of the next band to compare them with. Bitmaps of equal width are compared as they are.
+    ``rest`` has shingle, b, id, n and root. A tile holds the rows of one shingle and band, and those of
+    the next band to compare them with. A row knows all its shingles in ``rest``, so a pair leaves
+    only the tile of the smallest shingle that both have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +219,16 @@ def _tile_pairs(rest: DataFrame, percent: int) -> DataFrame:
                         if two is None:
                             keep &= a.id[i][:, None] < b.id[columns][None]
                         p, q = np.nonzero(keep)
-                        if len(p):
-                            u, v = a.id[i[p]], b.id[columns[q]]
+                        here = one.column("shingle")[0].as_py() if len(p) else 0
+                        first = [min(a.all[x] & b.all[y]) == here for x, y in zip(i[p].tolist(), columns[q].tolist(), strict=True)]
+                        if any(first):
+                            u, v = a.id[i[p]][first], b.id[columns[q]][first]
                             yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
     own = rest.withColumn("tile", F.explode(F.array(F.col("b"), F.col("b") - 1))).withColumn("own", F.col("tile") == F.col("b")).drop("b")
-    tiles = in_tiles(own, KEY, F.xxhash64("id"), TILE).select("shingle", "tile", "low", "high", "part", "id", "n", "root", "own", "bits")
-    return tiles.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    every = rest.groupBy("id", "n").agg(F.collect_list("shingle").alias("every"))  # of a prefix, so bounded by its document
+    tiles = in_tiles(own, KEY, F.xxhash64("id"), TILE, every.join(signs.select("id", "n", "bits"), ["id", "n"]), ["id", "n"])
+    return tiles.select("shingle", "tile", "low", "high", "part", "id", "n", "root", "own", "bits", "every").mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
 class _Block:
@@ -233,6 +237,7 @@ class _Block:
     def __init__(self, table: pa.Table):
         self.id, self.n, self.root = (table.column(c).to_numpy() for c in ("id", "n", "root"))
         self.own = table.column("own").to_numpy(zero_copy_only=False)
+        self.all = [set(x) for x in table.column("every").to_pylist()]
         bits = table.column("bits").to_pylist()
         size = np.fromiter(map(len, bits), np.int64, len(bits))
         self.widths = {w: np.flatnonzero(size == w) for w in np.unique(size).tolist()}
@@ -311,7 +316,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     named = tiles.drop("head", "head_n").join(chosen, "shingle", "left_semi").join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     rest = named.withColumn("lo", F.min("root").over(near)).withColumn("hi", F.max("root").over(near)).where("lo < hi").drop("lo", "hi")
     rest = scratch.save("rest", rest)
-    more = scratch.save("more", _tile_pairs(rest.join(signs.select("id", "n", "bits"), ["id", "n"]), percent).join(star, ["u", "v"], "left_anti"))
+    more = scratch.save("more", _tile_pairs(rest, signs, percent).join(star, ["u", "v"], "left_anti"))
     found2 = scratch.save("found2", _verified(more, texts, width, percent))
     scratch.release()
 

@@ -172,7 +172,8 @@ def test_back_references_and_groups():
     p = picture(8, 16, 16)
     flat = p.reshape(-1, 4)
     flat[40:90] = flat[20]  # a run: distance one
-    flat[100:140] = flat[84:124]
+    for i in range(100, 140):
+        flat[i] = flat[i - 16]
     refs = {41: (49, 120 + 1), 101: (39, 1)}  # by distance, and by place: one row above
     for bits in (0, 5):
         assert (decode_stream(lossless(p, references=refs, cache_bits=bits)) == p).all()
