@@ -45,20 +45,23 @@ class Projections:
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(n, tables) bucket numbers of normalised rows."""
-        q = np.floor(x @ self.a + self.b).astype(np.int64).reshape(len(x), self.tables, self.hashes)
+        total = np.broadcast_to(self.b, (len(x), len(self.b))).copy()
+        for j, direction in enumerate(self.a):  # in this order for any number of rows, so a vector's buckets never differ
+            total += x[:, j : j + 1] * direction
+        q = np.floor(total).astype(np.int64).reshape(len(x), self.tables, self.hashes)
         with np.errstate(over="ignore"):
             h = (q * self.mix).sum(2)
             return (h ^ (h >> 31)) * np.int64(0x1CE4E5B9BF58476D)
 
 
-def vectors(blobs: list[bytes]) -> np.ndarray:
-    """Normalised double rows of equally long vectors."""
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+def vectors(blobs: list[bytes], kind: str) -> np.ndarray:
+    """Normalised double rows of equally long vectors, whose components are stored as ``kind``."""
+    x = np.frombuffer(b"".join(blobs), kind).astype(np.float64).reshape(len(blobs), -1)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _valid(rows: DataFrame, vector: str) -> DataFrame:
-    """(id, label, size, vec) of the vectors that may link; vec holds the components as doubles, scaled so that squares are finite."""
+def _valid(rows: DataFrame, kind: str) -> DataFrame:
+    """(id, label, size, vec) of the vectors that may link; vec holds the components as ``kind``, doubles scaled where their squares would not be finite."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +72,7 @@ def _valid(rows: DataFrame, vector: str) -> DataFrame:
                 top = np.abs(x).max()
                 good = bool(np.isfinite(top)) and top > 0
                 size.append(len(x) if good else 0)
-                vec.append(((x if 1e-100 < top < 1e100 else x / top) + 0.0).tobytes() if good else None)
+                vec.append(((x if 1e-100 < top < 1e100 else x / top) + 0.0).astype(kind).tobytes() if good else None)
             out = pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label"), "size": pa.array(size, pa.int32()), "vec": pa.array(vec, pa.binary())})
             yield out.filter(out.column("vec").is_valid())
 
@@ -77,25 +80,29 @@ def _valid(rows: DataFrame, vector: str) -> DataFrame:
     return rows.where("label is not null and v is not null").mapInArrow(run, f"id long, label {label}, size int, vec binary")
 
 
-def _links(members: DataFrame, threshold: float, tables: int) -> DataFrame:
+def _links(members: DataFrame, threshold: float, kind: str, tables: int, hashes: int, width: float) -> DataFrame:
     """(u, v, n): in some tile, class u links with vectors of n rows, and hangs together with class v."""
+    made: dict[int, Projections] = {}
 
     def compare(one: pa.Table, two: pa.Table | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        t = int(one.column("t")[0].as_py())
+        t, size = int(one.column("t")[0].as_py()), int(one.column("size")[0].as_py())
 
         def parts(x: pa.Table):
-            keys = np.frombuffer(b"".join(x.column("keys").to_pylist()), np.int64).reshape(len(x), tables)
-            return vectors(x.column("vec").to_pylist()), keys, x.column("id").to_numpy(), x.column("n").to_numpy()
+            return vectors(x.column("vec").to_pylist(), kind), x.column("id").to_numpy(), x.column("n").to_numpy()
 
-        a, ka, ia, na = parts(one)
-        b, kb, ib, nb = parts(two) if two is not None else (a, ka, ia, na)
+        a, ia, na = parts(one)
+        b, ib, nb = parts(two) if two is not None else (a, ia, na)
         linked = a @ b.T >= threshold
         if two is None:
             np.fill_diagonal(linked, False)
         i, j = np.nonzero(linked)
         if not len(i):
             return
-        fresh = ~(ka[i, :t] == kb[j, :t]).any(1)
+        # The pair counts in the first table where it meets; few rows have a link, so their buckets are worked out again.
+        p = made.setdefault(size, Projections(size, tables, hashes, width))
+        ra, wa = np.unique(i, return_inverse=True)
+        rb, wb = np.unique(j, return_inverse=True)
+        fresh = ~(p.buckets(a[ra])[wa, :t] == p.buckets(b[rb])[wb, :t]).any(1)
         i, j = i[fresh], j[fresh]
         if two is None:
             ids, n = ia, np.bincount(i, nb[j], len(ia))
@@ -128,11 +135,13 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, tables: int = TABL
     smallest key reachable by links (its own included), and whether that is its own."""
     scratch = Scratch(rows.sparkSession)
     given = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
-    valid = scratch.save("valid", _valid(given, vector))
+    element = rows.schema[vector].dataType.elementType.simpleString()
+    stored = "<f4" if element == "float" else "<f8"
+    valid = scratch.save("valid", _valid(given, stored))
     groups = ["label", "size", "vec"]
     classes = scratch.save("classes", valid.groupBy(*groups).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    # A class is known by its smallest id; where a repeated id heads several classes they are one component anyway.
 
+    # A class is known by its smallest id; where a repeated id heads several classes, by its vector's hash as well.
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Projections] = {}
         for batch in batches:
@@ -140,16 +149,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, tables: int = TABL
             for size in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == size))
                 p = made.setdefault(size, Projections(size, tables, hashes, width))
-                keys = p.buckets(vectors(part.column("vec").to_pylist()))
-                cut = [k.tobytes() for k in keys]
+                keys = p.buckets(vectors(part.column("vec").to_pylist(), stored))
                 for t in range(tables):
-                    yield pa.RecordBatch.from_pydict({"t": pa.array(np.full(len(part), t, np.int32)), "bucket": pa.array(keys[:, t]), "keys": pa.array(cut, pa.binary()), **{c: part.column(c) for c in ("label", "size", "vec", "id", "n")}})
+                    yield pa.RecordBatch.from_pydict({"t": pa.array(np.full(len(part), t, np.int32)), "bucket": pa.array(keys[:, t]), **{c: part.column(c) for c in ("label", "size", "id", "cid")}})
 
     kind = valid.schema["label"].dataType.simpleString()
-    heads = classes.select("label", "size", "vec", F.col("rep").alias("id"), "n")
-    put = heads.mapInArrow(hashed, f"t int, bucket long, keys binary, label {kind}, size int, vec binary, id long, n long")
-    members = in_tiles(put, KEY, F.xxhash64("id", "vec"), TILE)
-    links = scratch.save("links", _links(members, threshold, tables))
+    heads = classes.select("label", "size", "vec", F.col("rep").alias("id"), "n", F.xxhash64("vec").alias("cid"))
+    put = heads.mapInArrow(hashed, f"t int, bucket long, label {kind}, size int, id long, cid long")
+    members = in_tiles(put, KEY, F.xxhash64("id", "cid"), TILE, heads, ["label", "size", "id", "cid"]).select(*KEY, "low", "high", "part", "id", "n", "vec")
+    links = scratch.save("links", _links(members, threshold, stored, tables, hashes, width))
     scratch.release()
 
     edges = links.select("u", "v").unionByName(valid.select(*groups, "id").join(classes.select(*groups, "rep"), groups).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
