@@ -27,14 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, components, in_tiles, text_slices, tile_pairs
+from ledgerloom.llm.common import Scratch, arrow_rows, components, in_tiles, text_slices, tile_pairs
 
 #: Documents sampled for the order of the shingles, and in how many of them a shingle is frequent. Only the speed depends on these.
 SAMPLE_DOCS, FREQUENT = 16384, 2
 #: Rows of a tile compared with each other at a time, and what makes a tile.
 TILE, KEY = 512, ["shingle", "tile"]
 #: Word hashes that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Rows of documents, and of pairs with both their sets, that go to a Python worker at a time.
+DOC_ROWS, PAIR_ROWS = 2000, 500
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 
@@ -284,7 +286,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     texts = _texts(docs, text, key)
-    sketches = scratch.save("sketches", _sketches(texts, _frequent(texts, width), width, percent))
+    order = _frequent(texts, width)
+    with arrow_rows(spark, DOC_ROWS):
+        sketches = scratch.save("sketches", _sketches(texts, order, width, percent))
 
     # One class for each set; a repeated key links its own classes.
     lowest = sketches.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"))
@@ -303,7 +307,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     fits = f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)"
     star = scratch.save("star", tiles.where(f"id <> head and {fits}").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct())
-    found = scratch.save("found", _verified(scratch.save("star1", _plausible(star, signs, percent)), texts, width, percent))
+    star1 = scratch.save("star1", _plausible(star, signs, percent))
+    with arrow_rows(spark, PAIR_ROWS):
+        found = scratch.save("found", _verified(star1, texts, width, percent))
     scratch.release()
     joined = components(found, scratch, "cc1")
 
@@ -317,7 +323,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     rest = named.withColumn("lo", F.min("root").over(near)).withColumn("hi", F.max("root").over(near)).where("lo < hi").drop("lo", "hi")
     rest = scratch.save("rest", rest)
     more = scratch.save("more", _tile_pairs(rest, signs, percent).join(star, ["u", "v"], "left_anti"))
-    found2 = scratch.save("found2", _verified(more, texts, width, percent))
+    with arrow_rows(spark, PAIR_ROWS):
+        found2 = scratch.save("found2", _verified(more, texts, width, percent))
     scratch.release()
 
     same = classes.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()

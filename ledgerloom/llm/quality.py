@@ -30,7 +30,7 @@ from ledgerloom.llm.common import text_slices
 
 #: Buckets of hashed words, factors of each feature, labelled rows fitted at most.
 WORD_BUCKETS, FACTORS, SAMPLE = 1 << 14, 8, 3000
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 STATS = 24
 SIZE = WORD_BUCKETS + STATS
 
