@@ -53,8 +53,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    wrapped = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("_id"), docs["source"].alias("_source"))
-    rows = mixed(wrapped, TARGETS, key="_id", source="_source", ties=("row",))
+    wrapped = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("_id"), docs["source"].alias("_source"), F.xxhash64(docs["text"]).alias("_tie"))
+    rows = mixed(wrapped, TARGETS, key="_id", source="_source", ties=("_tie",))
     return rows.orderBy("_slot", "_offset").select("row.*")
 
 
