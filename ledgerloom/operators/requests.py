@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: Stable error codes and their HTTP status.
 ERROR_CODES = {
-    "invalid_request": 400,
+    "validation_error": 400,
     "missing_idempotency_key": 400,
     "idempotency_conflict": 409,
-    "request_in_progress": 409,
+    "in_progress": 409,
     "not_found": 404,
-    "ledger_unavailable": 503,
+    "unavailable": 503,
     "internal": 500,
 }
 
@@ -27,6 +27,19 @@ def request_error(source: Column, destination: Column, amount: Column, currency:
     )
 
 
+def error_code(key: Column, error: Column, outcome: Column, known: Column, available: Column) -> Column:
+    """The code a request is answered with; null for one that is accepted. What cannot be told is internal."""
+    return (
+        F.when(F.coalesce(key, F.lit("")) == "", "missing_idempotency_key")
+        .when(error.isNotNull(), "validation_error")
+        .when(outcome == "conflict", "idempotency_conflict")
+        .when(outcome == "in_progress", "in_progress")
+        .when(~known, "not_found")
+        .when(~available, "unavailable")
+        .when(outcome.isNull(), "internal")
+    )
+
+
 def http_status(code: Column) -> Column:
     out = F.when(code.isNull(), F.lit(202))
     for name, status in ERROR_CODES.items():

@@ -444,11 +444,15 @@ def request_validation(spark, d):
     return D.table(spark, d, "orders").select(k.alias("id"), error.alias("error"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 202 WHEN 1 THEN 409 WHEN 2 THEN 404 ELSE 500 END AS status FROM orders")
+_CODE = "CASE WHEN o_orderkey % 17 = 0 THEN 'missing_idempotency_key' WHEN o_orderkey % 13 = 0 THEN 'validation_error' WHEN o_orderkey % 11 = 0 THEN 'idempotency_conflict' WHEN o_orderkey % 7 = 0 THEN 'in_progress' WHEN o_orderkey % 5 = 0 THEN 'not_found' WHEN o_orderkey % 3 = 0 THEN 'unavailable' WHEN o_orderkey % 19 = 0 THEN 'internal' END"
+
+
+@query(f"SELECT id, code, CASE code WHEN 'missing_idempotency_key' THEN 400 WHEN 'validation_error' THEN 400 WHEN 'idempotency_conflict' THEN 409 WHEN 'in_progress' THEN 409 WHEN 'not_found' THEN 404 WHEN 'unavailable' THEN 503 WHEN 'internal' THEN 500 ELSE 202 END AS status FROM (SELECT o_orderkey AS id, {_CODE} AS code FROM orders)")
 def error_codes(spark, d):
     k = F.col("o_orderkey")
-    code = F.when(k % 4 == 1, "idempotency_conflict").when(k % 4 == 2, "not_found").when(k % 4 == 3, "odd")
-    return D.table(spark, d, "orders").select(k.alias("id"), requests.http_status(code).alias("status"))
+    outcome = F.when(k % 11 == 0, "conflict").when(k % 7 == 0, "in_progress").when(k % 19 == 0, None).otherwise("reserved")
+    code = requests.error_code(F.when(k % 17 == 0, "").otherwise("k"), F.when(k % 13 == 0, "missing_field"), outcome, k % 5 != 0, k % 3 != 0)
+    return D.table(spark, d, "orders").select(k.alias("id"), code.alias("code"), requests.http_status(code).alias("status"))
 
 
 _OUTCOMES = f"""(SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'reserved' WHEN fingerprint = first_value(fingerprint) OVER w THEN 'replay' ELSE 'conflict' END AS outcome FROM {S.EVENTS} WINDOW w AS (PARTITION BY key ORDER BY ts, event_id))"""

@@ -120,3 +120,23 @@ def test_fingerprint(spark, tmp_path):
     (tmp_path / "b").write_bytes(b"")
     want = hashlib.sha256(b"x" * 3_000_000 + b"\0" + b"\0").hexdigest()
     assert adapters.fingerprint(spark, str(tmp_path / "a"), str(tmp_path / "b")) == want
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from ledgerloom.cli import arguments, run
+
+    inside, outside = generate.fixture(spark, 10, 1, 3)
+    sinks.write_json_lines(inside.coalesce(1), f"{tmp_path}/in")
+    sinks.write_fixed_csv(outside.coalesce(1), f"{tmp_path}/out")
+    (a,), (b,) = (list((tmp_path / x).glob("part-*")) for x in ("in", "out"))
+    args = ["--internal", str(a), "--external", str(b), "--runs", f"{tmp_path}/runs", "--feedback", f"{tmp_path}/asked", "--format", "json"]
+    out, err = io.StringIO(), io.StringIO()
+    run(arguments(args), out, err)
+    assert json.loads(out.getvalue())["matched_count"] == 11 and "kept" in err.getvalue()
+    run(arguments(args), io.StringIO(), err)
+    assert "nothing written" in err.getvalue()
+    assert spark.read.parquet(f"{tmp_path}/asked").count() == 2
+    with pytest.raises(SystemExit):
+        arguments(["--internal", "x"])
