@@ -32,7 +32,10 @@ def _checked(value: Column, good: Column, message: str, line: Column) -> Column:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``seq`` by the order of files and lines: partition and position, without a shuffle or a count."""
+    """``seq`` by partition and position, without a shuffle or a count: a file's splits and lines are in order.
+
+    Of several files in a folder, Spark reads the larger ones first; where their order counts, keep one file, or a ``seq`` column.
+    """
     return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
