@@ -127,5 +127,38 @@ FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND fits.n = 1
 """
 
 
+OP8_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, len(embedding) AS size, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), unit AS (
+  SELECT vec_id, label, size, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM good
+), pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM unit a JOIN unit b ON a.label = b.label AND a.size = b.size AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.93
+), reach(u, v) AS (
+  SELECT u, v FROM pairs UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u
+), low AS (SELECT u, min(v) AS m FROM reach GROUP BY u), n AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON vec_id = low.u LEFT JOIN n ON vec_id = n.u WHERE vec_id IS NOT NULL
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(u, v) AS (
+  SELECT u, v FROM pairs UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u
+), low AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sets LEFT JOIN low ON doc_id = u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_url_filters": OP2_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_url_filters": OP2_SQL, "op8_embedding_lsh": OP8_SQL, "op9_ngram_jaccard": OP9_SQL}
