@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Buckets among which the rows of one key are dealt when they are ranked.
 RANK_BUCKETS = 512
+#: Links that one task unites; beyond it, components are found in rounds over all executors.
+FEW_EDGES = 200_000
 #: UTF-8 bytes of text that a Python worker turns into objects at a time.
 SLICE_BYTES = 1 << 21
 
@@ -156,10 +158,32 @@ def dealt_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spre
     return ranked.join(starts, [*keys, "_bucket"]).withColumn(out, F.col("_start") + F.col("_in") - 1).drop("_bucket", "_in", "_start")
 
 
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``components``, of the edges (u, v) of one task, by union-find towards the smaller root."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while above[top] != top:
+            top = above[top]
+        while above[x] != top:
+            above[x], x = top, above[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(above.setdefault(u, u)), root(above.setdefault(v, v))
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = [x for x in above if root(x) != x]
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "root": pa.array([root(x) for x in nodes], pa.int64())})
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with a link: root is the smallest node reachable from it.
+    """(node, root) for every node that reaches a smaller one over links: root is the smallest. Roots have no row.
 
-    ``edges`` has the long columns u and v. Alternating large-star and small-star steps, each a
+    ``edges`` has the long columns u and v. At most ``FEW_EDGES`` (they are counted first) are united in
+    one task. More go through alternating large-star and small-star steps, each a
     partially aggregated minimum and a join (no group is gathered), until a round changes nothing.
     Every round is written to the shared folder, so a lost executor costs one round at most.
     """
@@ -181,7 +205,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    e = scratch.save(f"{name}-0", small(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct()))
+    given = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
+    e = scratch.save(f"{name}-0", given.distinct())
+    if e.count() <= FEW_EDGES:
+        return scratch.save(f"{name}-all", e.coalesce(1).mapInArrow(united, "node long, root long"))
     seen, last = mark(e), f"{name}-0"
     for i in range(1, most_rounds):
         if seen[0] == 0:

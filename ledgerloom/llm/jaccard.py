@@ -96,7 +96,7 @@ def bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
 
 def bits_for(n: int) -> int:
     """The width of a size's bitmap."""
-    return 1 << max(6, n.bit_length())
+    return 1 << max(6, (2 * n).bit_length())
 
 
 def folded(a: np.ndarray, to: int) -> np.ndarray:
@@ -328,6 +328,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     scratch.release()
 
     same = classes.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
-    roots = components(found.unionByName(found2).unionByName(same), scratch, "cc2")
+    stars = joined.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(stars.unionByName(found2).unionByName(same), scratch, "cc2")
     out = classes.join(roots, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
