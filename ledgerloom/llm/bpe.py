@@ -27,7 +27,7 @@ from ledgerloom.llm.common import text_slices
 #: Longest match, in bytes, that is merged together with others.
 WIDE = 64
 #: Matches whose ids a worker remembers; beyond it, it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 NONE = np.int32(2**31 - 1)
 
 

@@ -89,6 +89,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         size += int(n)
     if start < len(lengths):
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def in_tiles(rows: DataFrame, key: Sequence[str], spread: Column, most: int, payload: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:

@@ -34,7 +34,7 @@ SAMPLE_DOCS, FREQUENT = 16384, 2
 #: Rows of a tile compared with each other at a time, and what makes a tile.
 TILE, KEY = 512, ["shingle", "tile"]
 #: Word hashes that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Rows of documents, and of pairs with both their sets, that go to a Python worker at a time.
 DOC_ROWS, PAIR_ROWS = 2000, 500
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -290,8 +290,10 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     with arrow_rows(spark, DOC_ROWS):
         sketches = scratch.save("sketches", _sketches(texts, order, width, percent))
 
-    # One class for each set; a repeated key links its own classes.
-    lowest = sketches.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"))
+    # One class for each set. Saved, the sets that repeat are a plain side of the join, so a set that very
+    # many documents have is dealt with like any skewed key; a repeated key links its own classes.
+    lowest = sketches.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    lowest = scratch.save("lowest", lowest.select("n", "digest", "rep"))
     classes = scratch.save("classes", sketches.select("id", "n", "digest").join(lowest, ["n", "digest"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     reps = sketches.where("n > 0").join(classes.where("id = rep").select("id", "n").distinct(), ["id", "n"], "left_semi").dropDuplicates(["id", "n", "digest"])
 

@@ -30,7 +30,6 @@ from ledgerloom.llm.common import text_slices
 
 #: Buckets of hashed words, factors of each feature, labelled rows fitted at most.
 WORD_BUCKETS, FACTORS, SAMPLE = 1 << 14, 8, 3000
-REMEMBERED = 150_000
 STATS = 24
 SIZE = WORD_BUCKETS + STATS
 
@@ -40,19 +39,6 @@ def is_held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
 
-class Buckets(dict):
-    """Word to bucket; forgets all words when there are too many."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = i = zlib.crc32(word.encode()) % WORD_BUCKETS
-        return i
-
-
-_buckets = Buckets()
-
-
 def structure(text: str, words: list[str], counts: Counter) -> np.ndarray:
     """Numbers on the form of a text, each about 0 to 1."""
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -97,7 +83,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values): words at equal small weights, then the numbers on its form."""
     words = text.split()
     counts = Counter(words)
-    found = np.unique(np.fromiter(map(_buckets.__getitem__, counts), np.int64, len(counts)))
+    found = np.unique(np.fromiter((zlib.crc32(w.encode()) for w in counts), np.int64, len(counts)) % WORD_BUCKETS)
     index = np.concatenate((found, np.arange(WORD_BUCKETS, SIZE)))
     value = np.concatenate((np.full(len(found), 1 / np.sqrt(max(len(found), 1))), structure(text, words, counts)))
     return index, value
