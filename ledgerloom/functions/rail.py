@@ -23,21 +23,36 @@ def _folded(state: tuple[int, int], data: bytes) -> tuple[int, int]:
     return high, low
 
 
-def u01(seed: int, reference: Column, dimension: str) -> Column:
-    """The same number for the same seed, reference and dimension, in any order of evaluation."""
+def _step(s: Column, byte: Column) -> Column:
+    x = s["l"].bitwiseXOR(byte)
+    h = (s["h"] * PRIME_LOW + x * (1 << PRIME_SHIFT) + F.shiftright(x * PRIME_LOW, 32)) % HALF
+    return F.struct(h.alias("h"), ((x * PRIME_LOW) % HALF).alias("l"))
+
+
+def reference_state(seed: int, reference: Column) -> Column:
+    """The hash's state after the seed and the reference, which all dimensions of a reference share."""
     high, low = _folded((OFFSET >> 32, OFFSET % HALF), seed.to_bytes(8, "little", signed=True))
-    text = F.hex(F.concat(reference.cast("binary"), F.lit(b"\0" + dimension.encode())))
-    places = F.sequence(F.lit(1), F.length(text) - 1, F.lit(2))
+    text = F.hex(reference.cast("binary"))
+    places = F.filter(F.sequence(F.lit(1), F.length(text) + 1, F.lit(2)), lambda i: i < F.length(text))
     start = F.struct(F.lit(high).cast("long").alias("h"), F.lit(low).cast("long").alias("l"))
+    return F.aggregate(places, start, lambda s, i: _step(s, _byte(text, i)))
+
 
-    def step(s: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(text, i, F.lit(2)), 16, 10).cast("long")
-        x = s["l"].bitwiseXOR(byte)
-        carry = F.shiftright(x * PRIME_LOW, 32)
-        h = (s["h"] * PRIME_LOW + x * (1 << PRIME_SHIFT) + carry) % HALF
-        return F.struct(h.alias("h"), ((x * PRIME_LOW) % HALF).alias("l"))
+def _byte(text: Column, i: Column) -> Column:
+    """The byte of two upper-case hexadecimal digits."""
+    digit = lambda at: F.position(F.substring(text, at, F.lit(1)), F.lit("0123456789ABCDEF")) - 1
+    return (digit(i) * 16 + digit(i + 1)).cast("long")
 
-    return F.aggregate(places, start, step, lambda s: (s["h"].cast("double") * float(HALF) + s["l"].cast("double")) / 18446744073709551616.0)
+
+def drawn(state: Column, dimension: str) -> Column:
+    """The number in [0, 1) of a dimension, from the reference's state. The dimension's bytes are constants."""
+    data = F.array(*[F.lit(x).cast("long") for x in b"\0" + dimension.encode()])
+    return F.aggregate(data, state, _step, lambda s: (s["h"].cast("double") * float(HALF) + s["l"].cast("double")) / 18446744073709551616.0)
+
+
+def u01(seed: int, reference: Column, dimension: str) -> Column:
+    """The same number for the same seed, reference and dimension, in any order of evaluation."""
+    return drawn(reference_state(seed, reference), dimension)
 
 
 def fires(p: float, drawn: Column) -> Column:
@@ -50,14 +65,13 @@ class Chaos:
     def __init__(self, seed: int = 42, timeout: float = 0.25, decline: float = 0.30, duplicate: float = 0.50, tsq_timeout: float = 0.30):
         self.seed, self.timeout, self.decline, self.duplicate, self.tsq_timeout = seed, timeout, decline, duplicate, tsq_timeout
 
-    def sends(self, reference: Column) -> dict[str, Column]:
-        """Whether each fault fires for a reference."""
-        draw = lambda d: u01(self.seed, reference, d)
+    def sends(self, state: Column) -> dict[str, Column]:
+        """Whether each fault fires, by a reference's state."""
         return {
-            "send_timeout": fires(self.timeout, draw("send_timeout")),
-            "declined": fires(self.decline, draw("decline")),
-            "duplicate": fires(self.duplicate, draw("duplicate")),
-            "tsq_timeout": fires(self.tsq_timeout, draw("tsq_timeout")),
+            "send_timeout": fires(self.timeout, drawn(state, "send_timeout")),
+            "declined": fires(self.decline, drawn(state, "decline")),
+            "duplicate": fires(self.duplicate, drawn(state, "duplicate")),
+            "tsq_timeout": fires(self.tsq_timeout, drawn(state, "tsq_timeout")),
         }
 
 

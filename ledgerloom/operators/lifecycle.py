@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.rail import Chaos, query_verdict, send_verdict, terminal
+from ledgerloom.functions.rail import Chaos, query_verdict, reference_state, send_verdict, terminal
 from ledgerloom.functions.text import leg_key
 from ledgerloom.schemas import EDGES, EVENT_FOR_STATUS, STATE_OF_STATUS, STATUS_OF_STATE, TERMINAL
 
@@ -54,8 +54,8 @@ def fold_events(events: DataFrame, key: str = "key", order: tuple[str, ...] = ("
 
 def rail_outcomes(transfers: DataFrame, chaos: Chaos, reference: str = "reference") -> DataFrame:
     """``transfers`` with the rail's faults, the verdicts of sending and asking, and the terminal status. No shuffle."""
-    fault = chaos.sends(F.col(reference))
-    rows = transfers.withColumns(fault)
+    rows = transfers.withColumn("_state", reference_state(chaos.seed, F.col(reference)))
+    rows = rows.withColumns(chaos.sends(F.col("_state"))).drop("_state")
     return rows.withColumns(
         {
             "send_verdict": send_verdict(F.col("send_timeout"), F.col("declined")),
