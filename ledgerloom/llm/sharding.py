@@ -1,13 +1,15 @@
 """Sharding by balanced label propagation: copies of a text are drawn to one shard, row counts stay even.
 
 The law is ``rows``: shards' counts are at most one apart. Documents of equal text are linked. They
-start in the shard of their key's hash; in each round a group's documents vote, and those outside of
-the shard where most of them are ask to move there. A shard takes moves, in hashed order, as far as
-its quota of rows allows. Documents without links have no wishes and are dealt last, so they fill
-every shard to its quota exactly.
+start in the shard of their key's hash; in each round the groups that have no home yet vote for the shard
+where most of their documents are, among those that have room for the whole group. A shard takes groups, large ones
+first and then in hashed order, as far as its quota of rows allows. Only groups at home count against a quota: the documents
+of others are about to leave, so whatever they hold is room. Rounds go on until one takes nothing, that is, until
+every group is at home or larger than the room left in any shard. Documents of such groups and those without links are
+dealt last, the groups' one after another, so they fill every shard to its quota exactly.
 
 A group larger than a quarter of the smallest quota cannot help being cut; it is dealt into units of
-that size, each with votes of its own. Rounds work on the linked rows' keys and hashes, never on texts; what the driver sees are
+that size, each with votes of its own. Rounds work on the units' counts by shard, never on rows or texts; what the driver sees are
 the shards' sums. Each round is a table in the shared folder.
 
 Results for odd input: null text counts 0 bytes, has checksum 0 and is linked as empty text; rows with
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Scratch, dealt_rank
 
-SHARDS, ROUNDS, POOL_BUCKETS = 24, 10, 2048
+SHARDS, POOL_BUCKETS, VOTE_BUCKETS = 24, 2048, 64
 
 
 def _quotas(n: int, shards: int) -> list[int]:
@@ -34,26 +36,45 @@ def _by_shard(values: list[int], shard: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (shard + 1).cast("int"))
 
 
-def _loads(rows: DataFrame, shards: int) -> list[int]:
-    got = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return [got.get(k, 0) for k in range(shards)]
+def _votes(shards: int) -> Column:
+    """How many rows each shard has, as an array."""
+    return F.array(*[F.count(F.when(F.col("shard") == k, 1)) for k in range(shards)])
 
 
-def _moves(rows: DataFrame, quotas: list[int], loads: list[int], salt: int) -> DataFrame:
-    """(unit, shard, target): the votes that the targets' quotas have room for."""
-    votes = rows.groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("unit").agg(F.max_by("shard", F.struct("n", F.xxhash64("unit", "shard"))).alias("target"), F.count(F.lit(1)).alias("places"))
-    asked = votes.join(best.where("places > 1"), "unit").where("shard <> target")
-    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit(salt)), F.lit(256)))
-    before = Window.partitionBy("target").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = asked.groupBy("target", "bucket").agg(F.sum("n").alias("b")).select("target", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("target", "bucket").orderBy(F.xxhash64("unit", F.lit(salt)), "unit", "shard").rowsBetween(Window.unboundedPreceding, 0)
-    free = _by_shard([max(q - n, 0) for q, n in zip(quotas, loads, strict=True)], F.col("target"))
-    taken = asked.withColumn("upto", F.sum("n").over(inside)).join(starts, ["target", "bucket"]).where(F.col("start") + F.col("upto") <= free)
-    return taken.select("unit", "shard", "target")
+def _taken(units: DataFrame, room: list[int], salt: int) -> DataFrame:
+    """(unit, n, votes, target) of ``units`` (unit, n, votes): target is the shard that takes the unit, null if none does."""
 
+    def wish(k: int) -> Column:
+        # Among shards without a vote the chance is in proportion to the room.
+        chance = (F.pmod(F.xxhash64("unit", F.lit(salt), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        return F.when(F.col("n") <= room[k], F.struct(F.col("votes")[k].alias("n"), (F.log(chance) / float(max(room[k], 1))).alias("chance"), F.lit(k).alias("k")))
 
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    asked = units.withColumn("wish", F.array_max(F.array(*[wish(k) for k in range(len(room))]))["k"])
+    order = F.xxhash64("unit", F.lit(salt))
+    asked = asked.withColumn("bucket", (F.lit(64) - F.floor(F.log2("n"))) * VOTE_BUCKETS + F.pmod(order, F.lit(VOTE_BUCKETS)))
+    before = Window.partitionBy("wish").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = asked.groupBy("wish", "bucket").agg(F.sum("n").alias("b")).select("wish", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("wish", "bucket").orderBy(F.desc("n"), order, "unit").rowsBetween(Window.unboundedPreceding, 0)
+    upto = asked.withColumn("upto", F.sum("n").over(inside)).join(starts, ["wish", "bucket"], "left")
+    return upto.select("unit", "n", "votes", F.when(F.col("start") + F.col("upto") <= _by_shard(room, F.col("wish")), F.col("wish")).alias("target"))
+
+
+def _homes(units: DataFrame, room: list[int], scratch: Scratch) -> tuple[DataFrame, DataFrame, list[int]]:
+    """((unit, shard) of the units at home, those larger than the room left in any shard, the room left)."""
+    room, homes, left, i = list(room), units.select("unit", F.lit(0).alias("shard")).limit(0), units, 0
+    while True:
+        i += 1
+        asked = scratch.save(f"asked-{i}", _taken(left, room, i))
+        got = asked.where("target is not null").groupBy("target").agg(F.sum("n").alias("n")).collect()
+        if not got:
+            return homes, left, room
+        for r in got:
+            room[r["target"]] -= r["n"]
+        homes = homes.unionByName(asked.where("target is not null").select("unit", F.col("target").alias("shard")))
+        left = asked.where("target is null").drop("target")
+
+
+def balanced_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -69,27 +90,20 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     small = linked.where(F.col("copies") <= unit).withColumn("piece", F.lit(0).cast("long"))
     large = dealt_rank(linked.where(F.col("copies") > unit), ["g"], [F.col("h"), F.col("id")], F.col("h"), "place").withColumn("piece", F.floor(F.col("place") / unit).cast("long"))
     rows = small.select(*columns, "piece").unionByName(large.select(*columns, "piece"))
-    rows = rows.select(*columns, F.struct("g", "piece").alias("unit"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
-    rows, last = scratch.save("state-0", rows), "state-0"
-    loads = _loads(rows, shards)
-    for i in range(1, rounds + 1):
-        moves = scratch.save(f"moves-{i}", _moves(rows, quotas, loads, i))
-        if moves.isEmpty():
-            break
-        now = f"state-{i}"
-        rows = scratch.save(now, rows.join(moves, ["unit", "shard"], "left").withColumn("shard", F.coalesce("target", "shard")).select(*columns, "unit", "shard"))
-        scratch.drop(last, f"moves-{i}")
-        last, loads = now, _loads(rows, shards)
-
-    placed, pool = rows.select(*columns, "shard"), base.join(groups, "g", "left_anti").select(*columns)
-    if any(n > q for n, q in zip(loads, quotas, strict=True)):
-        ranked = scratch.save("ranked", dealt_rank(placed, ["shard"], [F.col("h"), F.col("g"), F.col("id")], F.col("h"), "place"))
-        fits = F.col("place") < _by_shard(quotas, F.col("shard"))
-        placed, pool = ranked.where(fits).select(*columns, "shard"), pool.unionByName(ranked.where(~fits).select(*columns))
-    room = [max(q - n, 0) for q, n in zip(quotas, loads, strict=True)]
-    ends = list(accumulate(room))
-    dealt = dealt_rank(pool.withColumn("all", F.lit(0)), ["all"], [F.col("h"), F.col("g"), F.col("id")], F.col("h"), "place", POOL_BUCKETS)
-    dealt = dealt.withColumn("shard", F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("place"))))
+    rows = scratch.save("rows", rows.select(*columns, F.struct("g", "piece").alias("unit"), F.pmod("h", F.lit(shards)).cast("int").alias("shard")))
+    units = scratch.save("units", rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), _votes(shards).alias("votes")))
+    homes, left, room = _homes(units, quotas, scratch)
+
+    placed = rows.drop("shard").join(homes, "unit").select(*columns, "shard")
+    # What found no home is dealt first, to the largest rooms, a unit's rows one after another.
+    first = rows.join(left.select("unit"), "unit").select(*columns, F.lit(0).alias("turn"), F.xxhash64("unit").alias("by"))
+    pool = first.unionByName(base.join(groups, "g", "left_anti").select(*columns, F.lit(1).alias("turn"), F.col("h").alias("by")))
+    ahead = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = dealt_rank(pool, ["turn"], [F.col("by"), F.col("h"), F.col("g"), F.col("id")], F.col("by"), "place", POOL_BUCKETS).withColumn("place", F.col("place") + F.col("turn") * ahead)
+    roomy = sorted(range(shards), key=lambda k: -room[k])
+    ends = list(accumulate(room[k] for k in roomy))
+    turn = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("place")))
+    dealt = dealt.withColumn("shard", _by_shard(roomy, turn).cast("int"))
     done = scratch.save("done", placed.unionByName(dealt.select(*columns, "shard")))
     out = dealt_rank(done, ["shard"], [F.col("h"), F.col("g"), F.col("id")], F.col("h"), "slot")
     return out.select(F.col("id").alias(key), "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

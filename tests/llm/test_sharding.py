@@ -56,3 +56,22 @@ def test_odd_rows(spark):
     given = [tuple(r) for r in docs(spark).collect()]
     check(balanced_shards(clashing(docs(spark))).collect(), given, 24)
     assert rows(balanced_shards(docs(spark, []))) == []
+
+
+def whole(got, group, sizes, most):
+    """The share of groups of 2 to ``most`` rows that are in one shard."""
+    where = defaultdict(set)
+    for r in got:
+        where[group(r["doc_id"])].add(r["shard"])
+    few = [g for g, n in sizes.items() if 2 <= n <= most]
+    return sum(len(where[g]) == 1 for g in few) / len(few)
+
+
+@pytest.mark.parametrize("linked", [0.95, 0.99, 1.0])
+def test_groups_come_together_in_a_table_of_copies(spark, linked):
+    n, shards = 9600, 24
+    group = lambda i: i % int(n * linked / 10) if i < n * linked else n + i
+    given = [(i, f"t{group(i)}", None, None, None) for i in range(n)]
+    got = balanced_shards(spark.createDataFrame(given, DOCS), shards=shards).collect()
+    check(got, given, shards)
+    assert whole(got, group, Counter(map(group, range(n))), 20) >= 0.98
