@@ -8,9 +8,13 @@ of others are about to leave, so whatever they hold is room. Rounds go on until
 every group is at home or larger than the room left in any shard. Documents of such groups and those without links are
 dealt last, the groups' one after another, so they fill every shard to its quota exactly.
 
-A group larger than a quarter of the smallest quota cannot help being cut; it is dealt into units of
-that size, each with votes of its own. Rounds work on the units' counts by shard, never on rows or texts; what the driver sees are
-the shards' sums. Each round is a table in the shared folder.
+Groups of more than a sixteenth of the smallest quota are few (some 16 a shard at most), so the driver finds their homes
+before the rounds, the largest first, from their counts by shard: where most of a group's documents are among the shards with room
+for all of it. Only a group larger than any room left is cut: it fills the largest room, and the rest goes on as a group of its size,
+so a group larger than a quota fills shards whole, and its rest has nothing to gain from their votes as they are full.
+
+Rounds work on the groups' counts by shard, never on rows or texts; what the driver sees are the shards' sums and
+the large groups' counts. Each round is a table in the shared folder.
 
 Results for odd input: null text counts 0 bytes, has checksum 0 and is linked as empty text; rows with
 null or repeated keys are placed like others; an empty table gives no rows; other columns are not looked at.
@@ -18,6 +22,7 @@ null or repeated keys are placed like others; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+import heapq
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import Scratch, dealt_rank
 
 SHARDS, POOL_BUCKETS, VOTE_BUCKETS = 24, 2048, 64
+#: A group of more than this part of a quota finds its home on the driver.
+LARGE = 16
 
 
 def _quotas(n: int, shards: int) -> list[int]:
@@ -42,26 +49,43 @@ def _votes(shards: int) -> Column:
 
 
 def _taken(units: DataFrame, room: list[int], salt: int) -> DataFrame:
-    """(unit, n, votes, target) of ``units`` (unit, n, votes): target is the shard that takes the unit, null if none does."""
+    """(g, n, votes, target) of ``units`` (g, n, votes): target is the shard that takes the group, null if none does."""
 
     def wish(k: int) -> Column:
         # Among shards without a vote the chance is in proportion to the room.
-        chance = (F.pmod(F.xxhash64("unit", F.lit(salt), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        chance = (F.pmod(F.xxhash64("g", F.lit(salt), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
         return F.when(F.col("n") <= room[k], F.struct(F.col("votes")[k].alias("n"), (F.log(chance) / float(max(room[k], 1))).alias("chance"), F.lit(k).alias("k")))
 
     asked = units.withColumn("wish", F.array_max(F.array(*[wish(k) for k in range(len(room))]))["k"])
-    order = F.xxhash64("unit", F.lit(salt))
+    order = F.xxhash64("g", F.lit(salt))
     asked = asked.withColumn("bucket", (F.lit(64) - F.floor(F.log2("n"))) * VOTE_BUCKETS + F.pmod(order, F.lit(VOTE_BUCKETS)))
     before = Window.partitionBy("wish").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = asked.groupBy("wish", "bucket").agg(F.sum("n").alias("b")).select("wish", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("wish", "bucket").orderBy(F.desc("n"), order, "unit").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("wish", "bucket").orderBy(F.desc("n"), order, "g").rowsBetween(Window.unboundedPreceding, 0)
     upto = asked.withColumn("upto", F.sum("n").over(inside)).join(starts, ["wish", "bucket"], "left")
-    return upto.select("unit", "n", "votes", F.when(F.col("start") + F.col("upto") <= _by_shard(room, F.col("wish")), F.col("wish")).alias("target"))
+    return upto.select("g", "n", "votes", F.when(F.col("start") + F.col("upto") <= _by_shard(room, F.col("wish")), F.col("wish")).alias("target"))
+
+
+def _packed(groups: list[tuple[bytes, int, list[int]]], quotas: list[int]) -> tuple[list[tuple[bytes, int, int, int]], list[int]]:
+    """([(g, from, to, shard)] of groups (g, n, votes): the places of a group's rows that a shard takes, the room left)."""
+    room, out = list(quotas), []
+    queue = [(-n, g, 0, votes) for g, n, votes in groups]
+    heapq.heapify(queue)
+    while queue:
+        n, g, start, votes = heapq.heappop(queue)
+        n = -n
+        k = max(range(len(room)), key=lambda k: (min(room[k], n), votes[k], -k))
+        took = min(room[k], n)
+        out.append((g, start, start + took, k))
+        room[k] -= took
+        if took < n:
+            heapq.heappush(queue, (took - n, g, start + took, votes))
+    return out, room
 
 
 def _homes(units: DataFrame, room: list[int], scratch: Scratch) -> tuple[DataFrame, DataFrame, list[int]]:
-    """((unit, shard) of the units at home, those larger than the room left in any shard, the room left)."""
-    room, homes, left, i = list(room), units.select("unit", F.lit(0).alias("shard")).limit(0), units, 0
+    """((g, shard) of the groups at home, those larger than the room left in any shard, the room left)."""
+    room, homes, left, i = list(room), units.select("g", F.lit(0).alias("shard")).limit(0), units, 0
     while True:
         i += 1
         asked = scratch.save(f"asked-{i}", _taken(left, room, i))
@@ -70,7 +94,7 @@ def _homes(units: DataFrame, room: list[int], scratch: Scratch) -> tuple[DataFra
             return homes, left, room
         for r in got:
             room[r["target"]] -= r["n"]
-        homes = homes.unionByName(asked.where("target is not null").select("unit", F.col("target").alias("shard")))
+        homes = homes.unionByName(asked.where("target is not null").select("g", F.col("target").alias("shard")))
         left = asked.where("target is null").drop("target")
 
 
@@ -83,20 +107,22 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", k
     groups = scratch.save("groups", base.groupBy("g").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     total = base.count()
     quotas = _quotas(total, shards)
-    unit = max(1, min(quotas) // 4)
+    large = F.col("copies") * LARGE > min(quotas)
 
-    linked = base.join(groups, "g")
     columns = ["id", "size", "crc", "g", "h"]
-    small = linked.where(F.col("copies") <= unit).withColumn("piece", F.lit(0).cast("long"))
-    large = dealt_rank(linked.where(F.col("copies") > unit), ["g"], [F.col("h"), F.col("id")], F.col("h"), "place").withColumn("piece", F.floor(F.col("place") / unit).cast("long"))
-    rows = small.select(*columns, "piece").unionByName(large.select(*columns, "piece"))
-    rows = scratch.save("rows", rows.select(*columns, F.struct("g", "piece").alias("unit"), F.pmod("h", F.lit(shards)).cast("int").alias("shard")))
-    units = scratch.save("units", rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), _votes(shards).alias("votes")))
-    homes, left, room = _homes(units, quotas, scratch)
-
-    placed = rows.drop("shard").join(homes, "unit").select(*columns, "shard")
-    # What found no home is dealt first, to the largest rooms, a unit's rows one after another.
-    first = rows.join(left.select("unit"), "unit").select(*columns, F.lit(0).alias("turn"), F.xxhash64("unit").alias("by"))
+    rows = scratch.save("rows", base.join(groups, "g").select(*columns, "copies", F.pmod("h", F.lit(shards)).cast("int").alias("shard")))
+    votes = scratch.save("votes", rows.groupBy("g", "copies").agg(_votes(shards).alias("votes")))
+    parts, room = _packed([(bytes(r["g"]), r["copies"], r["votes"]) for r in votes.where(large).collect()], quotas)
+    homes, left, room = _homes(votes.where(~large).select("g", F.col("copies").alias("n"), "votes"), room, scratch)
+
+    rows = rows.drop("shard")
+    placed = rows.where(~large).join(homes, "g").select(*columns, "shard")
+    if parts:
+        sent = F.broadcast(docs.sparkSession.createDataFrame(parts, "g binary, start long, end long, shard int"))
+        ranked = dealt_rank(rows.where(large), ["g"], [F.col("h"), F.col("id")], F.col("h"), "place")
+        placed = placed.unionByName(ranked.join(sent, "g").where("place >= start and place < end").select(*columns, "shard"))
+    # What found no home is dealt first, to the largest rooms, a group's rows one after another.
+    first = rows.where(~large).join(left.select("g"), "g").select(*columns, F.lit(0).alias("turn"), F.xxhash64("g").alias("by"))
     pool = first.unionByName(base.join(groups, "g", "left_anti").select(*columns, F.lit(1).alias("turn"), F.col("h").alias("by")))
     ahead = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dealt = dealt_rank(pool, ["turn"], [F.col("by"), F.col("h"), F.col("g"), F.col("id")], F.col("by"), "place", POOL_BUCKETS).withColumn("place", F.col("place") + F.col("turn") * ahead)

@@ -75,3 +75,19 @@ def test_groups_come_together_in_a_table_of_copies(spark, linked):
     got = balanced_shards(spark.createDataFrame(given, DOCS), shards=shards).collect()
     check(got, given, shards)
     assert whole(got, group, Counter(map(group, range(n))), 20) >= 0.98
+
+
+def test_large_groups_that_fit_a_shard_are_not_cut(spark):
+    sizes = [90, 80, 70, 60, 60, 55, 40, 35, 30, 20, 15]
+    given = [(i, t, None, None, None) for i, t in enumerate([f"t{g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"own {i}" for i in range(245)])]
+    group = lambda i: given[i][1]
+    got = balanced_shards(spark.createDataFrame(given, DOCS), shards=8).collect()
+    check(got, given, 8)
+    assert whole(got, group, Counter(map(group, range(len(given)))), 100) == 1
+
+
+def test_a_group_larger_than_a_shard_fills_shards(spark):
+    given = [(i, "same" if i < 250 else f"t{i % 20}", None, None, None) for i in range(800)]
+    got = balanced_shards(spark.createDataFrame(given, DOCS), shards=8).collect()
+    check(got, given, 8)
+    assert len({g["shard"] for g in got if g["doc_id"] < 250}) == 3
