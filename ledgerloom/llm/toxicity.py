@@ -2,7 +2,7 @@
 
 Noisy channel: a suspicious word (digits or signs among letters, repeated letters, letters set apart)
 is a lattice: each character stands for itself or for the letters it imitates, a run of one letter
-for one or two of it, a separator for nothing. A Viterbi search over states of two letters finds the
+for one or two of it, a separator among letters set apart for nothing or for a word's end. A Viterbi search over states of two letters finds the
 likeliest path under a trigram character model and the channel's costs. Words that have no other path
 than themselves are taken as they are; each distinct word is restored once.
 
@@ -42,13 +42,14 @@ IMITATES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y", "*": "aeiou", "#": "h",
 }
-#: Costs, in nats, of a sign for a letter, of a run for one or two letters, of a sign as itself, of a separator left out.
-SIGN, RUN, ITSELF, APART = 0.5, 0.3, 9.0, 0.3
+#: Costs, in nats, of a sign for a letter, of a run for one or two letters, of a sign as itself, of a separator left out or ending a word.
+SIGN, RUN, ITSELF, APART, BREAK = 0.5, 0.3, 9.0, 0.3, 1.0
 
 _CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 _HEAD, _TAIL = "\"'`.,;:?()[]{}<>«»„“”‘’…*_-~/\\%&#=^", "\"'`.,;:?!()[]{}<>«»„“”‘’…*_-~|/\\%&#$=+^"
 _SEPARATORS = ".-_*~·'’,/\\"
 _SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*~]{1,3}(?:[^\W_]|[@$!|+€£])){3,}(?![^\s.,;:!?])")
+_CUT = re.compile(r"[\s.\-_*~·,/\\]+")
 _RUN = re.compile(r"(.)\1\1")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 #: Bytes of lower-cased Latin-1-like text that the model knows, for counting with arrays.
@@ -85,6 +86,10 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
+def set_apart(word: str) -> bool:
+    return len(word) > 4 and sum(c in _SEPARATORS for c in word[1:-1]) >= max(2, (len(word) - 1) // 2 - 1)
+
+
 class Restorer:
     """Viterbi decoding of words under a trigram character model."""
 
@@ -99,7 +104,7 @@ class Restorer:
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each place of a lower-cased word the strings that may stand there, with their costs."""
         places: list[list[tuple[str, float]]] = []
-        apart = len(word) > 4 and sum(c in _SEPARATORS for c in word[1:-1]) >= max(2, (len(word) - 1) // 2 - 1)
+        apart = set_apart(word)
         i = 0
         while i < len(word):
             c, j = word[i], i + 1
@@ -110,9 +115,9 @@ class Restorer:
             else:
                 options = [(x, SIGN) for x in IMITATES.get(c, "")]
                 if apart and c in _SEPARATORS or c.isspace():
-                    options.append(("", APART))
+                    options += [("", APART * (j - i) ** 2), (" ", BREAK)]
                 if j - i > 1 and options:
-                    options += [(x * 2, cost) for x, cost in options if x]
+                    options += [(x * 2, cost) for x, cost in options if x.isalpha()]
                 places.append([*options, (c * (j - i), ITSELF * (j - i))])
             i = j
         return places
@@ -120,9 +125,10 @@ class Restorer:
     def decode(self, word: str) -> str:
         """The likeliest word behind a lower-cased one."""
         cost, edge = self.cost, 0
-        best: dict[tuple[int, int], tuple[float, str]] = {(edge, edge): (0.0, "")}
+        # A path is a chain of (path before, letters), so a long word costs no more a letter than a short one.
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(edge, edge): (0.0, ())}
         for place in self.lattice(word):
-            then: dict[tuple[int, int], tuple[float, str]] = {}
+            then: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (total, path) in best.items():
                 for letters, extra in place:
                     x, y, c = a, b, total + extra
@@ -132,35 +138,48 @@ class Restorer:
                         x, y = y, z
                     old = then.get((x, y))
                     if old is None or c < old[0]:
-                        then[x, y] = (c, path + letters)
+                        then[x, y] = (c, (path, letters))
             best = then
-        return min((total + cost[a][b][edge], path) for (a, b), (total, path) in best.items())[1]
-
-    def word(self, token: str) -> str:
-        """A token without its edges' signs, restored if it is suspicious."""
+        path = min(((total + cost[a][b][edge], path) for (a, b), (total, path) in best.items()), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
+
+    def spelt(self, noisy: str) -> list[str]:
+        """The words that letters spell, restored, cut where the likeliest path ends a word. Three letters do not
+        tell for sure where words end among letters set apart, so there each letter may begin one."""
+        out = [x for x in _CUT.split(self.decode(noisy)) if x]
+        if set_apart(noisy) or any(c.isspace() for c in noisy):
+            one = self.decode(_CUT.sub("", noisy))
+            out += [one, *(one[i : i + LONGEST_STEM] for i in range(1, len(one) - SHORTEST + 1))]
+        return out
+
+    def words(self, token: str) -> tuple[str, ...]:
+        """The words of a token without its edges' signs, restored if it is suspicious."""
         core = token.lstrip(_HEAD).rstrip(_TAIL)
-        if _PLAIN.match(core) and not _RUN.search(core) or len(core) > 40 or not any(c.isalpha() for c in core):
-            return core
-        return self.decode(core)
+        if _PLAIN.match(core) and not _RUN.search(core) or not any(c.isalpha() for c in core):
+            return (core,)
+        return tuple(self.spelt(core))
 
 
 def spaced_words(low: str, restorer: Restorer) -> list[str]:
     """What letters set apart spell, restored, in a lower-cased text."""
-    joined = (re.sub(r"[ .\-_*~]+", "", m[0]) for m in _SPACED.finditer(low))
-    return [restorer.decode(x) for x in joined if len(x) <= 40 and any(c.isalpha() for c in x)]
+    return [x for m in _SPACED.finditer(low) if any(c.isalpha() for c in m[0]) for x in restorer.spelt(m[0])]
 
 
-def restored_words(text: str, restorer: Restorer, known: dict[str, str]) -> tuple[str, ...]:
+def restored_words(text: str, restorer: Restorer, known: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
     """The distinct words of a text, restored. ``known`` remembers what was restored before."""
     low = text.lower()
     out = set(spaced_words(low, restorer))
     for token in set(low.split()):
-        word = known.get(token)
-        if word is None:
+        words = known.get(token)
+        if words is None:
             if len(known) >= REMEMBERED:
                 known.clear()
-            known[token] = word = sys.intern(restorer.word(token))
-        out.add(word)
+            known[token] = words = tuple(map(sys.intern, restorer.words(token)))
+        out.update(words)
     return tuple(sorted(out))
 
 
@@ -174,7 +193,7 @@ class Scorer:
 
     def __init__(self, restorer: Restorer, weights: dict[str, float], slopes: tuple[float, float], bias: float):
         self.restorer, self.weights, self.slopes, self.bias = restorer, weights, slopes, bias
-        self.known: dict[str, tuple[str, float] | None] = {}
+        self.known: dict[str, list[tuple[str, float]]] = {}
 
     def weight(self, word: str) -> float:
         return max((self.weights.get(s, 0.0) for s in stems(word)), default=0.0)
@@ -187,11 +206,8 @@ class Scorer:
             if token not in self.known:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
-                word = self.restorer.word(token)
-                x = self.weight(word)
-                self.known[token] = (word, x) if x else None
-            if hit := self.known[token]:
-                hits[hit[0]] = hit[1]
+                self.known[token] = [(w, x) for w in self.restorer.words(token) if (x := self.weight(w))]
+            hits.update(self.known[token])
         return list(hits.values())
 
     def score(self, text: str) -> float:

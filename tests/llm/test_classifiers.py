@@ -117,3 +117,21 @@ def spelt(restorer, word):
 def test_hold_out_rule(spark):
     got = spark.range(200).select("id", is_held_out(F.col("id")).alias("x")).collect()
     assert all(r["x"] == held(r["id"]) for r in got)
+
+
+def restorer_of_words(*more):
+    text = " ".join(random.Random(2).choices([*WORDS, "a", "you", "stupid", "idiot", "moron", "clown", *more], k=4000))
+    return Restorer(trigram_counts(text).astype(float))
+
+
+def test_long_and_strung_words_are_restored():
+    restorer = restorer_of_words()
+
+    def begun(noisy, word):
+        return any(w.startswith(word) for w in restored_words(noisy, restorer, {}))
+
+    run = " ".join("solna" * 20)
+    for noisy in ("st" + "u" * 36 + "pid", "solna." * 10 + "stupid", "a s t u p i d", "s t u p i d   i d i o t", f"{run}   s t u p i d", f"{run} s t u p i d", "-".join("solna" * 9 + "stupid")):
+        assert begun(noisy, "stupid"), noisy
+    assert begun("s t u p i d   i d i o t", "idiot") and begun("s t u p i d i d i o t", "idiot")
+    assert begun(" ".join("solnakaris" * 5000), "solna")
