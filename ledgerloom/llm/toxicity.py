@@ -1,6 +1,6 @@
 """Toxicity: texts are restored from noisy spelling, then scored.
 
-Noisy channel: a suspicious word (digits or signs among letters, repeated letters, letters set apart)
+Noisy channel: a suspicious word (digits or signs among or beside letters, doubled or repeated letters, letters set apart)
 is a lattice: each character stands for itself or for the letters it imitates, a run of one letter
 for one or two of it, a separator among letters set apart for nothing or for a word's end. A Viterbi search over states of two letters finds the
 likeliest path under a trigram character model and the channel's costs. Words that have no other path
@@ -49,8 +49,10 @@ _CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 _HEAD, _TAIL = "\"'`.,;:?()[]{}<>«»„“”‘’…*_-~/\\%&#=^", "\"'`.,;:?!()[]{}<>«»„“”‘’…*_-~|/\\%&#$=+^"
 _SEPARATORS = ".-_*~·'’,/\\"
 _SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*~]{1,3}(?:[^\W_]|[@$!|+€£])){3,}(?![^\s.,;:!?])")
+#: Edges' signs that stand for no letter.
+_MARKS, _MARKS_AFTER = ("".join(c for c in x if c not in IMITATES) for x in (_HEAD, _TAIL))
 _CUT = re.compile(r"[\s.\-_*~·,/\\]+")
-_RUN = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 #: Bytes of lower-cased Latin-1-like text that the model knows, for counting with arrays.
 _POINTS = np.full(0x250, CLASSES - 1, np.int64)
@@ -157,11 +159,15 @@ class Restorer:
         return out
 
     def words(self, token: str) -> tuple[str, ...]:
-        """The words of a token without its edges' signs, restored if it is suspicious."""
-        core = token.lstrip(_HEAD).rstrip(_TAIL)
-        if _PLAIN.match(core) and not _RUN.search(core) or not any(c.isalpha() for c in core):
+        """The words of a token, restored if it has another path than itself. Signs at its edges that imitate
+        letters are read in both ways, left out and as letters."""
+        core, wide = token.lstrip(_HEAD).rstrip(_TAIL), token.lstrip(_MARKS).rstrip(_MARKS_AFTER)
+        if not any(c.isalpha() for c in core):
             return (core,)
-        return tuple(self.spelt(core))
+        out = [core] if _PLAIN.match(core) and not _RUN.search(core) else self.spelt(core)
+        if wide != core:
+            out += [x for x in self.spelt(wide) if x not in out]
+        return tuple(out)
 
 
 def spaced_words(low: str, restorer: Restorer) -> list[str]:

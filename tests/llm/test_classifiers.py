@@ -135,3 +135,9 @@ def test_long_and_strung_words_are_restored():
         assert begun(noisy, "stupid"), noisy
     assert begun("s t u p i d   i d i o t", "idiot") and begun("s t u p i d i d i o t", "idiot")
     assert begun(" ".join("solnakaris" * 5000), "solna")
+
+
+def test_doubled_letters_and_signs_at_edges_are_restored():
+    restorer = restorer_of_words()
+    for noisy, word in (("stuupid", "stupid"), ("iidiot", "idiot"), ("mooron", "moron"), ("*diot", "idiot"), ("(lown", "clown"), ("(idiot)", "idiot"), ("**moron**", "moron"), ("you're a \"stup!d\"", "stupid")):
+        assert word in restored_words(noisy, restorer, {}), noisy
