@@ -17,34 +17,43 @@ from pyspark.sql import functions as F
 
 #: Buckets among which the rows of one key are dealt when they are ranked.
 RANK_BUCKETS = 512
-#: Links that one task unites; beyond it, components are found in rounds over all executors.
-FEW_EDGES = 200_000
+#: Rows of a bucket at most, on average, when a large table is ranked.
+RANK_ROWS = 1 << 20
+#: Buckets of ids that a filter of candidates has: what is broadcast is bounded by it.
+FILTER_BUCKETS = 1 << 20
 #: UTF-8 bytes of text that a Python worker turns into objects at a time.
 SLICE_BYTES = 1 << 21
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only in local mode may it be unset; then it is a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
             root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/ledgerloom"
 
 
+#: Scratches with tables that a result may still read.
+_open: set[Scratch] = set()
+
+
 class Scratch:
     """Tables written to the shared folder, which cut the lineage and outlive any executor.
 
-    A table is computed once (``checkpoint()`` would compute its last stage twice) and can be
-    dropped as soon as a later one replaces it.
+    A table is computed once (``checkpoint()`` would compute its last stage twice) and is
+    dropped as soon as a later one replaces it; those that an operator's lazy result reads stay until ``close``.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        _open.add(self)
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -56,9 +65,21 @@ class Scratch:
         for name in names:
             path = self.paths.pop(name, None)
             if path:
-                hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+                self._delete(path)
+
+    def keep(self, *names: str) -> None:
+        """Drop all tables but those that the result still reads."""
+        self.drop(*[n for n in self.paths if n not in names])
 
+    def close(self) -> None:
+        """Drop everything; results that read from here are no longer of use."""
+        self.paths.clear()
+        self._delete(self.root)
+        _open.discard(self)
+
+    def _delete(self, path: str) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
     def release(self) -> None:
         """Let go of finished steps' shuffle files, which stay on disk until the driver collects its garbage."""
@@ -67,15 +88,14 @@ class Scratch:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """Batches of at most n rows to and from Python while wide rows are written; then as before."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
+def scratch_scope() -> Iterator[None]:
+    """What operators leave in the shared folder inside the block goes at its end, when its results are in tables of their own."""
+    before = set(_open)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for s in [s for s in _open if s not in before]:
+            s.close()
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -92,21 +112,38 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     pa.default_memory_pool().release_unused()
 
 
+def only_listed(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key is in the distinct table ``ids`` (a saved one: it is read twice).
+
+    A filter by buckets of the ids, at most FILTER_BUCKETS of them and so always small enough to broadcast, goes first, so that
+    few of the wide rows that are not listed move; then a join drops the rest.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS)).cast("int").alias("_b")
+    listed = F.broadcast(ids.select(bucket).distinct())
+    near = rows.withColumn("_b", bucket).join(listed, "_b", "left_semi").drop("_b")
+    return near.join(ids, key, "left_semi")
+
+
 def in_tiles(rows: DataFrame, key: Sequence[str], spread: Column, most: int, payload: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
     """``rows`` dealt into tiles for ``tile_pairs``: a key with more than ``most`` rows is split by hash.
 
     Adds part, low and high. Each row goes to the tile of every pair (low, high) of parts that has its
     own, so any two rows of a key meet in one tile, and a tile holds about twice ``most`` rows at most.
+    Keys are counted with partial counts, so a hot one is gathered nowhere; ``rows`` is read twice.
     Wide columns come from ``payload``, joined ``on`` its key when the rows' tiles are known, so that they move once.
     """
-    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("_n > 1")
-    counted = counted.withColumn("_parts", F.ceil(F.col("_n") / most).cast("int")).withColumn("part", F.pmod(spread, F.col("_parts")).cast("int"))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counted = rows.join(counts.withColumn("_parts", F.ceil(F.col("_n") / most).cast("int")).drop("_n"), list(key)).withColumn("part", F.pmod(spread, F.col("_parts")).cast("int"))
     dealt = counted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = dealt.withColumn("low", F.least("part", "_other")).withColumn("high", F.greatest("part", "_other")).drop("_other", "_parts", "_n")
+    dealt = dealt.withColumn("low", F.least("part", "_other")).withColumn("high", F.greatest("part", "_other")).drop("_other", "_parts")
     if payload is not None:
         dealt = dealt.join(payload, list(on))
+    return by_tile(dealt, key)
+
+
+def by_tile(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     tile = [*key, "low", "high"]
-    return dealt.repartition(*[F.col(c) for c in tile]).sortWithinPartitions(*tile)
+    return rows.repartition(*[F.col(c) for c in tile]).sortWithinPartitions(*tile)
 
 
 def tile_pairs(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[tuple[pa.Table, pa.Table | None]]:
@@ -142,6 +179,11 @@ def tile_pairs(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterato
         yield from whole([held])
 
 
+def rank_buckets(n: int) -> int:
+    """Buckets for ranking ``n`` rows: RANK_BUCKETS, and more where a bucket of a hot key would exceed RANK_ROWS rows."""
+    return max(RANK_BUCKETS, 1 << (n // RANK_ROWS).bit_length())
+
+
 def dealt_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Column, out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
     """``df`` with ``out``: a gapless position from 0 among the rows of equal ``keys``.
 
@@ -159,67 +201,44 @@ def dealt_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spre
     return ranked.join(starts, [*keys, "_bucket"]).withColumn(out, F.col("_start") + F.col("_in") - 1).drop("_bucket", "_in", "_start")
 
 
-def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``components``, of the edges (u, v) of one task, by union-find towards the smaller root."""
-    above: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while above[top] != top:
-            top = above[top]
-        while above[x] != top:
-            above[x], x = top, above[x]
-        return top
-
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            a, b = root(above.setdefault(u, u)), root(above.setdefault(v, v))
-            if a != b:
-                above[max(a, b)] = min(a, b)
-    nodes = [x for x in above if root(x) != x]
-    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "root": pa.array([root(x) for x in nodes], pa.int64())})
-
-
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 200) -> DataFrame:
     """(node, root) for every node that reaches a smaller one over links: root is the smallest. Roots have no row.
 
-    ``edges`` has the long columns u and v. At most ``FEW_EDGES`` (they are counted first) are united in
-    one task. More go through alternating large-star and small-star steps, each a
-    partially aggregated minimum and a join (no group is gathered), until a round changes nothing.
-    Every round is written to the shared folder, so a lost executor costs one round at most.
+    ``edges`` has the columns u and v. The graph is contracted round by round: each node points to the first of
+    its neighbours and itself, and links go on between what their ends point to, without loops and repeats. The
+    order is by id in even rounds, so a star is one node after one round, and by a hash of the round in odd ones, so
+    that of any graph, a sorted path too, a share of the nodes goes: rounds shrink geometrically, and all of them
+    together cost about as much as the first. Then the pointers are followed back, last round first, and each group's smallest node is its root.
+    Every step is a partially aggregated minimum or a join, so no group is gathered, and every round is a
+    table in the shared folder, so a lost executor costs one round at most. Inputs of every size go this way.
     """
-
-    def both(e: DataFrame) -> DataFrame:
-        return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-    def large(e: DataFrame) -> DataFrame:
-        e = both(e)
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return e.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-    def small(e: DataFrame) -> DataFrame:
-        e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(low, "u").select("u", "v", "m")
-        return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
     given = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
-    e = scratch.save(f"{name}-0", given.distinct())
-    if e.count() <= FEW_EDGES:
-        return scratch.save(f"{name}-all", e.coalesce(1).mapInArrow(united, "node long, root long"))
-    seen, last = mark(e), f"{name}-0"
-    for i in range(1, most_rounds):
-        if seen[0] == 0:
-            break
-        now = f"{name}-{i}"
-        e = scratch.save(now, small(large(e)))
-        scratch.drop(last)
-        last, before, seen = now, seen, mark(e)
-        if seen == before:
-            break
-    else:
-        raise RuntimeError(f"components: still changing after {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    left, points, i = scratch.save(f"{name}-links-0", given.distinct()), [], 0
+    while not left.isEmpty():
+        if i == most_rounds:
+            raise RuntimeError(f"components: still links after {most_rounds} rounds")
+        near = left.select("u", "v").unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if i % 2:
+            first = lambda c, i=i: F.struct(F.xxhash64(c, F.lit(i)).alias("h"), F.col(c).alias("x"))
+            to = F.least(first("u"), F.min(first("v")))["x"]
+        else:
+            to = F.least("u", F.min("v"))
+        point = scratch.save(f"{name}-points-{i}", near.groupBy("u").agg(to.alias("to")).select(F.col("u").alias("node"), "to"))
+        points.append(point)
+        ends = left.join(point.select(F.col("node").alias("u"), F.col("to").alias("a")), "u").join(point.select(F.col("node").alias("v"), F.col("to").alias("b")), "v")
+        i += 1
+        left = scratch.save(f"{name}-links-{i}", ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        scratch.drop(f"{name}-links-{i - 1}")
+    if not points:
+        scratch.drop(f"{name}-links-0")
+        return scratch.save(f"{name}-roots", given.limit(0).select(F.col("u").alias("node"), F.col("v").alias("root")))
+    ends = points.pop().select("node", F.col("to").alias("end"))
+    for k, point in enumerate(reversed(points)):
+        ends = point.join(ends.select(F.col("node").alias("to"), "end"), "to", "left").select("node", F.coalesce("end", "to").alias("end"))
+        if k % 8 == 7:
+            ends = scratch.save(f"{name}-ends-{k}", ends)
+    ends = scratch.save(f"{name}-ends", ends)
+    lowest = ends.groupBy("end").agg(F.min("node").alias("root"))
+    roots = scratch.save(f"{name}-roots", ends.join(lowest, "end").where("node <> root").select("node", "root"))
+    scratch.drop(*[x for x in scratch.paths if x.startswith(f"{name}-") and x != f"{name}-roots"])
+    return roots

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, arrow_rows, components, in_tiles, text_slices, tile_pairs
+from ledgerloom.llm.common import Scratch, components, in_tiles, only_listed, text_slices, tile_pairs
 
 #: Documents sampled for the order of the shingles, and in how many of them a shingle is frequent. Only the speed depends on these.
 SAMPLE_DOCS, FREQUENT = 16384, 2
@@ -35,8 +35,8 @@ SAMPLE_DOCS, FREQUENT = 16384, 2
 TILE, KEY = 512, ["shingle", "tile"]
 #: Word hashes that a worker remembers.
 REMEMBERED = 120_000
-#: Rows of documents, and of pairs with both their sets, that go to a Python worker at a time.
-DOC_ROWS, PAIR_ROWS = 2000, 500
+#: Pairs whose sets are compared at a time.
+PAIR_ROWS = 500
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 
@@ -253,8 +253,8 @@ class _Block:
         return x
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose documents are similar."""
+def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of a saved table whose documents are similar. Only texts of documents in pairs move."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,13 +263,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "set": pa.array(sets, pa.binary())})
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column("a"), batch.column("b"), strict=True)
-            keep = pa.array([similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in sets], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
-
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = texts.join(ids, "id", "left_semi").mapInArrow(hashed, "id long, set binary")
+        for whole in batches:
+            for at in range(0, len(whole), PAIR_ROWS):
+                batch = whole.slice(at, PAIR_ROWS)
+                sets = zip(batch.column("a"), batch.column("b"), strict=True)
+                keep = pa.array([similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in sets], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    ids = scratch.save(name, pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
+    sets = only_listed(texts, ids).mapInArrow(hashed, "id long, set binary")
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("a"))
     b = sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long").distinct()
@@ -283,35 +285,34 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     whatever their texts; a key that occurs twice gets a row for each, and its texts' links hold for
     both. An empty table gives no rows. ``width`` is at most 64 words. Other columns are not looked at.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     texts = _texts(docs, text, key)
     order = _frequent(texts, width)
-    with arrow_rows(spark, DOC_ROWS):
-        sketches = scratch.save("sketches", _sketches(texts, order, width, percent))
+    sketches = scratch.save("sketches", _sketches(texts, order, width, percent))
 
     # One class for each set. Saved, the sets that repeat are a plain side of the join, so a set that very
-    # many documents have is dealt with like any skewed key; a repeated key links its own classes.
+    # many documents have is dealt with like any skewed key.
     lowest = sketches.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     lowest = scratch.save("lowest", lowest.select("n", "digest", "rep"))
     classes = scratch.save("classes", sketches.select("id", "n", "digest").join(lowest, ["n", "digest"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
-    reps = sketches.where("n > 0").join(classes.where("id = rep").select("id", "n").distinct(), ["id", "n"], "left_semi").dropDuplicates(["id", "n", "digest"])
+    known = sketches.where("n > 0").select("id", "n", "b", "digest", "prefix").join(lowest, ["n", "digest"], "left")
+    heads = known.where("id = rep").dropDuplicates(["id", "n", "digest"])
 
-    # Tiles: a shingle and two neighbouring bands, so that every similar pair meets in one.
-    posting = reps.select("id", "n", "b", F.explode("prefix").alias("shingle"))
-    near = Window.partitionBy("shingle")
-    tiles = posting.withColumn("members", F.count(F.lit(1)).over(near)).withColumn("first", F.min(F.struct("id", "n")).over(near)).where("members > 1")
-    tiles = scratch.save("tiles", tiles.select("shingle", "id", "n", "b", F.col("first.id").alias("head"), F.col("first.n").alias("head_n")))
+    # Tiles: a shingle and two neighbouring bands, so that every similar pair meets in one. Shingles are counted with
+    # partial counts and joined to the rows, so a very common one is split like any skewed key.
+    posting = known.where("rep is null").unionByName(heads).select("id", "n", "b", F.explode("prefix").alias("shingle"))
+    shared = posting.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("head"), F.min_by("n", "id").alias("head_n")).where("members > 1").drop("members")
+    tiles = scratch.save("tiles", posting.join(shared, "shingle"))
 
     signs = scratch.save("signs", sketches.where("n > 0").select("id", "n", "bits"))
-    scratch.drop("sketches")
+    scratch.drop("sketches", "lowest")
     scratch.release()
 
     fits = f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)"
     star = scratch.save("star", tiles.where(f"id <> head and {fits}").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct())
     star1 = scratch.save("star1", _plausible(star, signs, percent))
-    with arrow_rows(spark, PAIR_ROWS):
-        found = scratch.save("found", _verified(star1, texts, width, percent))
+    found = scratch.save("found", _verified(star1, texts, scratch, "asked", width, percent))
+    scratch.drop("star1", "asked")
     scratch.release()
     joined = components(found, scratch, "cc1")
 
@@ -322,15 +323,20 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     members = [F.count(F.lit(1)).alias("c"), F.sum(h.bitwiseAND(low32)).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("y"), F.sum(F.xxhash64("n", "id").bitwiseAND(low32)).alias("z")]
     chosen = tiles.groupBy("shingle").agg(*members).groupBy("c", "x", "y", "z").agg(F.min("shingle").alias("shingle")).select("shingle")
     named = tiles.drop("head", "head_n").join(chosen, "shingle", "left_semi").join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    rest = named.withColumn("lo", F.min("root").over(near)).withColumn("hi", F.max("root").over(near)).where("lo < hi").drop("lo", "hi")
-    rest = scratch.save("rest", rest)
+    named = scratch.save("named", named)
+    mixed = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    rest = scratch.save("rest", named.join(mixed, "shingle", "left_semi"))
+    scratch.drop("tiles", "named")
     more = scratch.save("more", _tile_pairs(rest, signs, percent).join(star, ["u", "v"], "left_anti"))
-    with arrow_rows(spark, PAIR_ROWS):
-        found2 = scratch.save("found2", _verified(more, texts, width, percent))
+    scratch.drop("rest", "star", "signs")
+    found2 = scratch.save("found2", _verified(more, texts, scratch, "asked2", width, percent))
     scratch.release()
 
-    same = classes.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
+    # Copies have their class's root, so they are no links; only a key of several classes links those.
+    several = classes.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
+    same = classes.join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
     stars = joined.select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = components(stars.unionByName(found2).unionByName(same), scratch, "cc2")
-    out = classes.join(roots, F.col("id") == F.col("node"), "left")
-    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    scratch.keep("classes", "cc2-roots")
+    out = classes.join(roots, F.col("rep") == F.col("node"), "left")
+    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common
-from ledgerloom.llm.common import Scratch, components, dealt_rank, scratch_root
+from ledgerloom.llm.common import Scratch, components, dealt_rank, only_listed, rank_buckets, scratch_root, scratch_scope
 from tests.llm.helpers import rows
 
 
@@ -35,12 +35,32 @@ GRAPHS = {
 }
 
 
-@pytest.mark.parametrize("few", [0, 1_000_000])
 @pytest.mark.parametrize("name", sorted(GRAPHS))
-def test_components(spark, monkeypatch, name, few):
-    monkeypatch.setattr(common, "FEW_EDGES", few)
-    edges = spark.createDataFrame(GRAPHS[name], "u long, v long")
-    assert rows(components(edges, Scratch(spark))) == plain(GRAPHS[name])
+def test_components(spark, name):
+    edges, scratch = spark.createDataFrame(GRAPHS[name], "u long, v long"), Scratch(spark)
+    assert rows(components(edges, scratch)) == plain(GRAPHS[name])
+    assert list(scratch.paths) == ["cc-roots"]
+
+
+def test_only_listed(spark):
+    wide = spark.range(500).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    ids = spark.range(3, 500, 50)
+    assert rows(only_listed(wide, ids)) == sorted(((i, f"t{i}") for i in range(3, 500, 50)), key=str)
+    assert only_listed(wide, ids.limit(0)).isEmpty()
+
+
+def test_scope_leaves_nothing(spark):
+    import os
+
+    with scratch_scope():
+        s = Scratch(spark)
+        s.save("x", spark.range(3).toDF("x"))
+        assert os.path.isdir(f"{s.root}/x")
+    assert not os.path.exists(s.root)
+
+
+def test_rank_buckets_grow():
+    assert rank_buckets(10) == rank_buckets(10**8) == 512 and 10**12 / rank_buckets(10**12) <= common.RANK_ROWS
 
 
 def test_dealt_rank_is_gapless(spark):

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import lsh
-from ledgerloom.llm.lsh import Projections, near_duplicates
+from ledgerloom.llm.lsh import Projections, hashings, meets, near_duplicates
 from tests.llm.helpers import rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -70,9 +71,21 @@ def test_large_group_of_copies(spark):
     assert rows(near_duplicates(spark.createDataFrame(given, SCHEMA))) == brute(given)
 
 
-def test_probability_of_meeting():
+def test_repeated_ids_keep_their_own_links(spark):
+    given = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (1, None, 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, [0.01, 1.0], 1), (1, [1.0, 0.0], None)]
+    assert rows(near_duplicates(spark.createDataFrame(given, SCHEMA))) == brute(given)
+
+
+@pytest.mark.parametrize("crowd", [300, 200_000, 10**9])
+def test_tables_and_hashes_grow_with_a_label(spark, crowd):
+    """However many hashes the label's size asks for, a pair at the threshold meets, and its signs pass."""
+    one = hashings(spark.createDataFrame([(1, 2)], "label int, size int").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(3)))), 0.93)
+    assert one.first()["hashes"] == lsh.LEAST_HASHES
     r = np.random.default_rng(6)
-    p = Projections(64, lsh.TABLES, lsh.HASHES, lsh.WIDTH)
+    hashes = max(lsh.LEAST_HASHES, int(np.ceil(np.log(crowd / lsh.CROWD) / -np.log(meets(0.0)))))
+    assert crowd * meets(0.0) ** hashes <= lsh.CROWD
+    tables = int(np.ceil(np.log(lsh.MISSED) / np.log1p(-(meets(0.93) ** hashes))))
+    p = Projections(64, tables, hashes, lsh.WIDTH)
     x = r.normal(size=(400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     side = r.normal(size=(400, 64))
@@ -80,3 +93,5 @@ def test_probability_of_meeting():
     side /= np.linalg.norm(side, axis=1)[:, None]
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * side
     assert (p.buckets(x) == p.buckets(y)).any(1).mean() > 0.995
+    apart = np.bitwise_count(p.signs(x) ^ p.signs(y)).sum(1)
+    assert apart.max() <= lsh.signs_apart(0.93) < np.bitwise_count(p.signs(x) ^ p.signs(x[::-1])).sum(1)[:200].mean()
