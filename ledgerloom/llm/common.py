@@ -112,16 +112,20 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     pa.default_memory_pool().release_unused()
 
 
-def only_listed(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """The rows whose key is in the distinct table ``ids`` (a saved one: it is read twice).
+def listed_apart(rows: DataFrame, listed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in ``listed``, rows whose key may be), by a filter of buckets that is broadcast.
 
-    A filter by buckets of the ids, at most FILTER_BUCKETS of them and so always small enough to broadcast, goes first, so that
-    few of the wide rows that are not listed move; then a join drops the rest.
+    ``listed`` is a saved table. The filter has at most FILTER_BUCKETS rows whatever the tables' sizes; nothing is shuffled.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS)).cast("int").alias("_b")
-    listed = F.broadcast(ids.select(bucket).distinct())
-    near = rows.withColumn("_b", bucket).join(listed, "_b", "left_semi").drop("_b")
-    return near.join(ids, key, "left_semi")
+    filled = F.broadcast(listed.select(bucket).distinct())
+    dealt = rows.withColumn("_b", bucket)
+    return dealt.join(filled, "_b", "left_anti").drop("_b"), dealt.join(filled, "_b", "left_semi").drop("_b")
+
+
+def only_listed(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key is in the saved table ``ids``. Of the wide rows that are not listed few move."""
+    return listed_apart(rows, ids, key)[1].join(ids, key, "left_semi")
 
 
 def in_tiles(rows: DataFrame, key: Sequence[str], spread: Column, most: int, payload: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, components, in_tiles, only_listed, text_slices, tile_pairs
+from ledgerloom.llm.common import Scratch, components, in_tiles, listed_apart, only_listed, text_slices, tile_pairs
 
 #: Documents sampled for the order of the shingles, and in how many of them a shingle is frequent. Only the speed depends on these.
 SAMPLE_DOCS, FREQUENT = 16384, 2
@@ -295,21 +295,24 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     lowest = sketches.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     lowest = scratch.save("lowest", lowest.select("n", "digest", "rep"))
     classes = scratch.save("classes", sketches.select("id", "n", "digest").join(lowest, ["n", "digest"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
-    known = sketches.where("n > 0").select("id", "n", "b", "digest", "prefix").join(lowest, ["n", "digest"], "left")
-    heads = known.where("id = rep").dropDuplicates(["id", "n", "digest"])
+    # Sets that surely do not repeat stay where they are; of the others the class's row is picked by a join.
+    once, again = listed_apart(sketches.where("n > 0").select("id", "n", "b", "digest", "prefix"), lowest, "digest")
+    heads = again.join(lowest, ["n", "digest"], "left").where("rep is null or id = rep").dropDuplicates(["id", "n", "digest"])
+    heads = scratch.save("heads", heads.select("id", "n", "b", "prefix"))
 
     # Tiles: a shingle and two neighbouring bands, so that every similar pair meets in one. Shingles are counted with
     # partial counts and joined to the rows, so a very common one is split like any skewed key.
-    posting = known.where("rep is null").unionByName(heads).select("id", "n", "b", F.explode("prefix").alias("shingle"))
-    shared = posting.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("head"), F.min_by("n", "id").alias("head_n")).where("members > 1").drop("members")
+    posting = once.select("id", "n", "b", "prefix").unionByName(heads).select("id", "n", "b", F.explode("prefix").alias("shingle"))
+    shared = posting.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("head")).where("members > 1").drop("members")
     tiles = scratch.save("tiles", posting.join(shared, "shingle"))
 
     signs = scratch.save("signs", sketches.where("n > 0").select("id", "n", "bits"))
-    scratch.drop("sketches", "lowest")
+    scratch.drop("sketches", "lowest", "heads")
     scratch.release()
 
-    fits = f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)"
-    star = scratch.save("star", tiles.where(f"id <> head and {fits}").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct())
+    sizes = tiles.where("id = head").select(F.col("id").alias("u"), F.col("n").alias("head_n")).distinct()
+    star = tiles.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"), "n").distinct()
+    star = scratch.save("star", star.join(sizes, "u").where(f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)").select("u", "v").distinct())
     star1 = scratch.save("star1", _plausible(star, signs, percent))
     found = scratch.save("found", _verified(star1, texts, scratch, "asked", width, percent))
     scratch.drop("star1", "asked")
@@ -322,7 +325,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     low32 = F.lit(0xFFFFFFFF).cast("long")
     members = [F.count(F.lit(1)).alias("c"), F.sum(h.bitwiseAND(low32)).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("y"), F.sum(F.xxhash64("n", "id").bitwiseAND(low32)).alias("z")]
     chosen = tiles.groupBy("shingle").agg(*members).groupBy("c", "x", "y", "z").agg(F.min("shingle").alias("shingle")).select("shingle")
-    named = tiles.drop("head", "head_n").join(chosen, "shingle", "left_semi").join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    named = tiles.drop("head").join(chosen, "shingle", "left_semi").join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     named = scratch.save("named", named)
     mixed = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
     rest = scratch.save("rest", named.join(mixed, "shingle", "left_semi"))
