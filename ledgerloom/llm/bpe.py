@@ -7,7 +7,8 @@ live left neighbour, and the nodes above them. Matches of up to ``WIDE`` bytes a
 time, a row of one array each; longer ones one at a time, in the same kind of tree.
 
 Results for odd input: null text is empty text, which has no ids; a text of any length is encoded
-whole; equal texts get equal ids; other columns of the input are not looked at.
+whole; equal texts get equal ids; null and repeated keys are rows like others; an empty table gives no rows; other
+columns of the input are not looked at. Ranks may be any below 2 ** 25.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ class Vocabulary:
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
-        if len(self.token) > 1 << 16:
-            raise ValueError("more than 65,536 ranks don't fit the pair keys")
+        # A pair's key holds both ranks: in 32 bits for vocabularies of up to 65,536 ranks, else in 64.
+        self.half, self.wide = (16, np.uint32) if len(self.token) <= 1 << 16 else (32, np.uint64)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         get = self.ranks.get
         self.pairs: dict[int, int] = {}
@@ -49,8 +50,8 @@ class Vocabulary:
             for i in range(1, len(token)):
                 a, b = get(token[:i]), get(token[i:])
                 if a is not None and b is not None:
-                    self.pairs[a << 16 | b] = rank
-        keys = np.fromiter(self.pairs, np.uint32, len(self.pairs))
+                    self.pairs[a << self.half | b] = rank
+        keys = np.fromiter(self.pairs, self.wide, len(self.pairs))
         order = np.argsort(keys)
         self.keys = keys[order]
         self.values = np.fromiter(self.pairs.values(), np.int32, len(self.pairs))[order]
@@ -58,7 +59,7 @@ class Vocabulary:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens; NONE where there is no such token or one is dead (-1)."""
-        key = left.astype(np.uint32) << np.uint32(16) | (right.astype(np.uint32) & np.uint32(0xFFFF))
+        key = left.astype(self.wide) << self.wide(self.half) | (right.astype(self.wide) & self.wide((1 << self.half) - 1))
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NONE)
 
@@ -128,7 +129,7 @@ class Vocabulary:
         tree = [none] * (2 * leaves)
 
         def leaf(i: int) -> int:
-            rank = get(tokens[i] << 16 | tokens[after[i]]) if after[i] < n else None
+            rank = get(tokens[i] << self.half | tokens[after[i]]) if after[i] < n else None
             return none if rank is None else rank * leaves + i
 
         for i in range(n):

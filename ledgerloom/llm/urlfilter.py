@@ -9,7 +9,8 @@ longest rule (its written length) whose last bit stays set wins, the first of eq
 
 Results for odd input: a null URL or one without ``://`` has an empty host and path; URLs of any length are
 judged whole; equal URLs are judged alike; without a fitting rule the rule is null and the verdict is
-``default``; other columns of the input are not looked at.
+``default``; null and repeated keys are rows like others; an empty table gives no rows; other columns of the
+input are not looked at.
 """
 
 from __future__ import annotations

@@ -2,19 +2,24 @@
 
 ``decode_image`` reads any lossless image: prefix codes (simple and normal, one group or many),
 back-references, colour cache, and the predictor, cross-colour, subtract-green and palette
-transforms. A stream of one group of codes in which only the green samples vary is decoded for all
-bit positions at once with arrays; anything else pixel by pixel.
+transforms. A stream of one group of codes without a cache in which only the green samples vary is decoded for all
+bit positions at once with arrays, its back-references too; anything else pixel by pixel.
 
-``media`` stores text: its UTF-8 bytes, zero-padded to a positive multiple of 64, are the green
-samples of images 64 pixels wide. A payload of more than ``IMAGE_BYTES`` becomes several images,
-one file after the other, so that memory is bounded for texts of any length.
+``media`` stores text: its UTF-8 bytes, zero-padded to a positive multiple of 64, are the samples of grey
+images 64 pixels wide. The cross-colour transform takes green out of red and blue, which leaves them zero; a
+predictor (left, or top) goes first where it makes the samples' entropy smaller; images of at most 16 colours are palettes,
+several pixels to one; and repeats of ``GRAM`` bytes or more become back-references. (A colour cache pays
+only where other samples than green vary, so no image of ``media`` has one; the decoder reads it.) A payload of more than
+``IMAGE_BYTES`` becomes several images, one file after the other, so that memory is bounded for texts of any length.
 
 Results for odd input: null text is empty text, whose payload is 64 zero bytes; equal texts give
-equal media; other columns of the input are not looked at. Truncated or foreign bytes raise ValueError.
+equal media; null and repeated keys are rows like others; an empty table gives no rows; other columns of
+the input are not looked at, whatever their names. Truncated or foreign bytes raise ValueError.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import zlib
@@ -29,6 +34,10 @@ from ledgerloom.llm.common import text_slices
 
 #: Pixels of an image's row, and bytes of payload in an image at most.
 WIDTH, IMAGE_BYTES = 64, 1 << 18
+#: Shortest repeat that becomes a back-reference, longest one of a single reference, most colours of a palette.
+GRAM, LONGEST_COPY, FEW_COLOURS = 8, 4096, 16
+#: How much green the cross-colour transform takes out of red and blue, in 32nds: all of it.
+ALL_GREEN = 32
 
 # Fixed values of the lossless WebP format.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -109,17 +118,19 @@ class Code:
 
     def __init__(self, lengths: np.ndarray):
         order, codes = canonical(lengths)
-        self.single = int(order[0]) if len(order) == 1 else None
-        if not len(order):
-            self.single = 0
-        self.bits = 0 if self.single is not None else int(lengths.max())
-        self.table = np.zeros(1 << self.bits, np.int32)
-        if self.single is not None:
-            self.table[0] = self.single << 4
-        else:
-            for s, n, c in zip(order.tolist(), lengths[order].tolist(), codes.tolist(), strict=True):
-                self.table[c :: 1 << n] = s << 4 | n
         self._list: list[int] | None = None
+        if len(order) < 2:
+            self.only(int(order[0]) if len(order) else 0)
+            return
+        self.single, self.bits = None, int(lengths.max())
+        self.table = np.zeros(1 << self.bits, np.int32)
+        for s, n, c in zip(order.tolist(), lengths[order].tolist(), codes.tolist(), strict=True):
+            self.table[c :: 1 << n] = s << 4 | n
+
+    def only(self, symbol: int) -> Code:
+        """The code of one symbol, which takes no bits."""
+        self.single, self.bits, self.table, self._list = symbol, 0, np.array([symbol << 4], np.int32), [symbol << 4]
+        return self
 
     def read(self, r: Reader) -> int:
         if self._list is None:
@@ -165,12 +176,14 @@ class Writer:
 
 
 def read_code(r: Reader, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         found = [r.read(8 if wide else 1)] + ([r.read(8)] if two else [])
         if max(found) >= alphabet:
             raise ValueError("symbol outside of the alphabet")
+        if len(set(found)) == 1:
+            return Code.__new__(Code).only(found[0])
+        lengths = np.zeros(alphabet, np.int64)
         lengths[found] = 1
         return Code(lengths)
     own = np.zeros(19, np.int64)
@@ -178,21 +191,20 @@ def read_code(r: Reader, alphabet: int) -> Code:
         own[CODE_LENGTH_ORDER[i]] = r.read(3)
     code = Code(own)
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
-    at, last = 0, 8
-    while at < alphabet and left:
+    lengths: list[int] = []
+    last = 8
+    while len(lengths) < alphabet and left:
         left -= 1
         x = code.read(r)
         if x < 16:
-            lengths[at] = x
-            at += 1
+            lengths.append(x)
             last = x or last
             continue
         n, value = (3 + r.read(2), last) if x == 16 else (3 + r.read(3), 0) if x == 17 else (11 + r.read(7), 0)
-        if at + n > alphabet:
-            raise ValueError("code lengths outside of the alphabet")
-        lengths[at : at + n] = value
-        at += n
-    return Code(lengths)
+        lengths += [value] * n
+    if len(lengths) > alphabet:
+        raise ValueError("code lengths outside of the alphabet")
+    return Code(np.array(lengths, np.int64))
 
 
 def put_code(w: Writer, lengths: list[int]) -> None:
@@ -207,26 +219,30 @@ def put_code(w: Writer, lengths: list[int]) -> None:
     # All 16 kinds of length that are used here (0 to 12 and the three runs) get codes of 4 bits.
     w.put(0, 1)
     w.put(15, 4)
-    kinds = [*range(13), 16, 17, 18]
     for s in CODE_LENGTH_ORDER:
-        w.put(4 if s in kinds else 0, 3)
+        w.put(4 if s in KINDS else 0, 3)
     w.put(0, 1)
-    i = 0
-    while i < len(lengths):
-        n = lengths[i]
-        run = 1
-        while n == 0 and run < 138 and i + run < len(lengths) and lengths[i + run] == 0:
-            run += 1
-        kind = 18 if run >= 11 else 17 if run >= 3 else n
-        w.put(_NIBBLE[kinds.index(kind)], 4)
-        if kind == 18:
-            w.put(run - 11, 7)
-        elif kind == 17:
-            w.put(run - 3, 3)
-        i += run if kind > 16 else 1
+    value = size = zeros = 0
+    for n in [*lengths, 1]:
+        if not n:
+            zeros += 1
+            continue
+        while zeros:
+            if zeros < 3:
+                value, size, run = value | NIBBLE[0] << size, size + 4, 1
+            elif zeros < 11:
+                value, size, run = value | (NIBBLE[17] | zeros - 3 << 4) << size, size + 7, zeros
+            else:
+                run = min(zeros, 138)
+                value, size = value | (NIBBLE[18] | run - 11 << 4) << size, size + 11
+            zeros -= run
+        value |= NIBBLE[n] << size
+        size += 4
+    w.put(value & ((1 << size - 4) - 1), size - 4)  # without the mark of the end
 
 
-_NIBBLE = [int(f"{i:04b}"[::-1], 2) for i in range(16)]
+KINDS = [*range(13), 16, 17, 18]
+NIBBLE = {kind: int(f"{i:04b}"[::-1], 2) for i, kind in enumerate(KINDS)}
 
 
 # ---------------------------------------------------------------- decoding
@@ -256,9 +272,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (GREEN_SYMBOLS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_SYMBOLS)
     codes = [[read_code(r, n) for n in sizes] for _ in range(kinds)]
     if kinds == 1 and not cache_bits and all(c.single is not None for c in codes[0][1:4]):
-        pixels = read_green(r, width * height, codes[0])
-        if pixels is not None:
-            return pixels
+        return read_green(r, width, height, codes[0])
     cache = [0] * (1 << cache_bits)
     out: list[int] = []
     total = width * height
@@ -294,46 +308,101 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def read_green(r: Reader, total: int, code: list[Code]) -> np.ndarray | None:
-    """Pixels of literal green samples alone; None (and nothing read) if there is any other symbol.
+def prefix_parts(symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least value, extra bits) of each length or distance prefix symbol."""
+    s = np.arange(symbols, dtype=np.int32)
+    extra = np.where(s < 4, 0, (s - 2) >> 1)
+    return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + 1).astype(np.int32), extra.astype(np.int32)
+
+
+LEAST, EXTRA = prefix_parts(DISTANCE_SYMBOLS)
+
+
+def read_green(r: Reader, width: int, height: int, code: list[Code]) -> np.ndarray:
+    """Pixels of which only green varies, back-references included.
 
-    A code's length and symbol are looked up at every bit position; following the lengths eight codes
-    at a time, then four, two and one, gives the positions at which codes really start.
+    A code's length and symbol are looked up at every bit position, for a copy its distance's as well; following
+    the lengths eight codes at a time, then four, two and one, gives the positions at which codes really start.
+    Copied pixels then find their sources by pointer doubling.
     """
-    green, fixed = code[0], code[3].single << 24 | code[1].single << 16 | code[2].single
+    green, fixed, total = code[0], code[3].single << 24 | code[1].single << 16 | code[2].single, width * height
     if green.single is not None:
-        return np.full(total, fixed | green.single << 8, np.uint32) if green.single < 256 else None
+        if green.single > 255:
+            raise ValueError("back-reference outside of the image")
+        return np.full(total, fixed | green.single << 8, np.uint32)
     first = r.at >> 3
-    data = np.frombuffer(r.data, np.uint8, offset=first)[: (total * green.bits + 7) // 8 + 1].astype(np.uint32)
-    ends = np.zeros(len(data) + 2, np.uint32)
+    most = green.bits + 14 + code[4].bits + 18  # of a token, so that much at most is looked at
+    data = np.frombuffer(r.data, np.uint8, offset=first)[: (total * most + 7) // 8 + 1].astype(np.uint32)
+    ends = np.zeros(len(data) + 3, np.uint32)
     ends[: len(data)] = data
-    wide = ends[:-2] | ends[1:-1] << np.uint32(8) | ends[2:] << np.uint32(16)
-    at_bit = (wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)
-    found = green.table[at_bit.ravel()]
+    wide = ends[:-3] | ends[1:-2] << np.uint32(8) | ends[2:-1] << np.uint32(16) | ends[3:] << np.uint32(24)
+    at_bit = (wide[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # 25 bits from each position on
+    found = green.table[at_bit & np.uint32((1 << green.bits) - 1)]
     bits = len(found)
+    size, symbol = found & 15, found >> 4
+    copies = np.flatnonzero(symbol > 255).astype(np.int32)
+    here = np.arange(bits, dtype=np.int32)
     step = np.empty(bits + 1, np.int32)
-    np.minimum(np.arange(bits, dtype=np.int32) + (found & 15), bits, out=step[:-1])
+    step[:-1] = here + size
+    if len(copies):
+        distance = code[4]
+        behind = np.minimum(step[copies] + EXTRA[symbol[copies] - 256], bits - 1)
+        far = distance.table[at_bit[behind] & np.uint32((1 << distance.bits) - 1)]
+        step[copies] = behind + (far & 15) + EXTRA[far >> 4]
+    np.minimum(step[:-1], bits, out=step[:-1])
     step[-1] = bits
     steps = [step]
     for _ in range(3):
         steps.append(steps[-1][steps[-1]])
-    at, starts = r.at & 7, []
-    far = memoryview(steps[3])
+    at, starts, jump = r.at & 7, [], memoryview(steps[3])
     for _ in range(-(-total // 8)):
+        if at >= bits:
+            break
         starts.append(at)
-        at = far[at]
+        at = jump[at]
     where = np.array(starts, np.int32)
     for s in (steps[2], steps[1], steps[0]):
         where = np.stack((where, s[where]), axis=1).ravel()
-    where = where[:total]
-    end = int(step[where[-1]])
-    if where[-1] >= bits or 8 * first + end > r.end:
+    where = where[where < bits]
+    token = symbol[where]
+    if not len(copies):
+        where, token = where[:total], token[:total]
+        if len(where) < total or 8 * first + int(step[where[-1]]) > r.end:
+            raise ValueError("image data ends early")
+        r.at = 8 * first + int(step[where[-1]])
+        return token.astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
+    copy = np.flatnonzero(token > 255)
+    length = np.ones(len(token), np.int64)
+    own = where[copy] + size[where[copy]]
+    extra = EXTRA[token[copy] - 256]
+    length[copy] = LEAST[token[copy] - 256] + (at_bit[np.minimum(own, bits - 1)] & ((1 << extra.astype(np.int64)) - 1))
+    after = np.cumsum(length)
+    n = int(np.searchsorted(after, total)) + 1
+    if n > len(token) or 8 * first + int(step[where[n - 1]]) > r.end:
         raise ValueError("image data ends early")
-    symbols = found[where] >> 4
-    if symbols.max() > 255:
-        return None
-    r.at = 8 * first + end
-    return symbols.astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
+    if after[n - 1] != total:
+        raise ValueError("back-reference outside of the image")
+    r.at = 8 * first + int(step[where[n - 1]])
+    copy = copy[copy < n]
+    behind = np.minimum(own[: len(copy)] + extra[: len(copy)], bits - 1)
+    far = code[4].table[at_bit[behind] & np.uint32((1 << code[4].bits) - 1)]
+    more = EXTRA[far >> 4].astype(np.int64)
+    rest = np.minimum(behind + (far & 15), bits - 1)
+    value = LEAST[far >> 4] + ((at_bit[rest]) & ((1 << more) - 1))
+    near = np.array([max(1, dx + dy * width) for dx, dy in DISTANCES], np.int64)
+    value = np.where(value > len(DISTANCES), value - len(DISTANCES), near[np.minimum(value, len(DISTANCES)) - 1])
+    back = np.zeros(n, np.int64)
+    back[copy] = value
+    owner = np.repeat(np.arange(n), length[:n])
+    source = np.arange(total) - back[owner]
+    if source.min() < 0 or (back[copy] > after[copy] - length[copy]).any():
+        raise ValueError("back-reference outside of the image")
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    return token[owner[source]].astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
 
 
 def channels(pixels: np.ndarray) -> np.ndarray:
@@ -384,6 +453,8 @@ def predicted(mode: int, left: list[int], top: list[int], top_right: list[int],
 def walk_predictor(samples: np.ndarray, width: int, height: int, block: int, modes: list[int], forward: bool) -> np.ndarray:
     """Residuals from samples (forward), or samples from residuals."""
     across = -(-width >> block)
+    if not forward and set(modes) in ({1}, {2}):
+        return summed(samples.reshape(height, width, 4), modes[0])
     given = samples.reshape(height * width, 4).tolist()
     done: list[list[int]] = []
     known = given if forward else done
@@ -400,8 +471,23 @@ def walk_predictor(samples: np.ndarray, width: int, height: int, block: int, mod
     return np.array(done, np.uint8)
 
 
+def summed(residuals: np.ndarray, mode: int) -> np.ndarray:
+    """Samples from residuals of predictor 1 (left) or 2 (top) everywhere, by sums along rows or columns."""
+    out = residuals.copy()
+    out[0, 0, 0] = (int(out[0, 0, 0]) + 255) & 255  # the first pixel's prediction is opaque black
+    if mode == 1:
+        np.cumsum(out[:, 0], axis=0, dtype=np.uint8, out=out[:, 0])
+        np.cumsum(out, axis=1, dtype=np.uint8, out=out)
+    else:
+        np.cumsum(out[0], axis=0, dtype=np.uint8, out=out[0])
+        np.cumsum(out, axis=0, dtype=np.uint8, out=out)
+    return out.reshape(-1, 4)
+
+
 def cross_colour(samples: np.ndarray, width: int, height: int, block: int, elements: np.ndarray, forward: bool) -> np.ndarray:
     """Add (or, forward, subtract) what green tells of red and blue, and red of blue."""
+    if not forward and (elements == elements[0]).all():
+        return coloured(samples.reshape(-1, 4), channels(elements[:1])[0].view(np.int8).astype(np.int32))
     across = -(-width >> block)
     y, x = np.divmod(np.arange(width * height), width)
     e = channels(elements)[(y >> block) * across + (x >> block)].view(np.int8).astype(np.int32)
@@ -415,6 +501,18 @@ def cross_colour(samples: np.ndarray, width: int, height: int, block: int, eleme
     return out.astype(np.uint8)
 
 
+def coloured(samples: np.ndarray, element: np.ndarray) -> np.ndarray:
+    """Cross-colour undone where its element is the same everywhere: what a byte adds is looked up."""
+    byte = np.arange(256).astype(np.uint8).view(np.int8).astype(np.int32)
+    by_green, by_green2, by_red = ((element[i] * byte >> 5).astype(np.uint8) for i in (3, 2, 1))
+    out = samples.copy()
+    out[:, 1] += by_green[out[:, 2]]
+    out[:, 3] += by_green2[out[:, 2]]
+    if element[1]:
+        out[:, 3] += by_red[out[:, 1]]
+    return out
+
+
 def decode_stream(data: bytes) -> np.ndarray:
     """(height, width, 4) bytes, alpha, red, green, blue, of a VP8L stream."""
     r = Reader(data)
@@ -489,37 +587,166 @@ def decode_image(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
 
 
 def packed(codes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int]:
-    """Codes written one after the other, the lowest bit first; and their bits."""
+    """Codes of less than 64 bits written one after the other, the lowest bit first; and their bits."""
     ends = np.cumsum(sizes)
-    total = int(ends[-1])
     starts = ends - sizes
-    bits = np.zeros(total, np.uint8)
-    for i in range(int(sizes.max())):
-        has = sizes > i
-        bits[starts[has] + i] = codes[has] >> i & 1
-    return np.packbits(bits, bitorder="little").tobytes(), total
+    words, shift = starts >> 6, (starts & 63).astype(np.uint64)
+    codes = codes.astype(np.uint64)
+    out = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
+    np.add.at(out, words, codes << shift)
+    np.add.at(out, words + 1, codes >> np.uint64(1) >> (np.uint64(63) - shift))
+    return out.astype("<u8").tobytes()[: int(ends[-1] + 7) // 8], int(ends[-1])
+
+
+def repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """[(start, length, distance)] of repeats of at least GRAM bytes, from left to right, without overlap."""
+    if len(x) <= GRAM:
+        return []
+    wide = np.zeros(len(x) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        wide |= x[i : len(wide) + i].astype(np.uint64) << np.uint64(8 * i)
+    order = np.argsort(wide, kind="stable")
+    same = np.flatnonzero(wide[order[1:]] == wide[order[:-1]])
+    if not len(same):
+        return []
+    distance = np.zeros(len(wide), np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]  # to the last place with the same bytes
+    change = np.flatnonzero(np.diff(distance)) + 1
+    begins, stops = np.concatenate(([0], change)), np.concatenate((change, [len(wide)]))
+    kept = distance[begins] > 0
+    out, end = [], 0
+    for start, stop, far in zip(begins[kept].tolist(), (stops[kept] + GRAM - 1).tolist(), distance[begins[kept]].tolist(), strict=True):
+        start = max(start, end)
+        while stop - start >= GRAM:
+            n = min(stop - start, LONGEST_COPY)
+            out.append((start, n, far))
+            start = end = start + n
+    return out
 
 
-def encode_green(samples: np.ndarray, width: int) -> bytes:
-    """A VP8L stream of (n,) samples in green, n a multiple of ``width``; other samples are 0, alpha 255."""
-    w = Writer()
-    w.put(SIGNATURE, 8)
-    w.put(width - 1, 14)
-    w.put(len(samples) // width - 1, 14)
-    w.put(0, 4)
-    w.put(0, 3)  # no transform, no colour cache, one group of codes
-    counts = np.bincount(samples, minlength=GREEN_SYMBOLS)
+def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits' number, extra bits) of lengths or distances."""
+    symbol = np.searchsorted(LEAST, values, side="right") - 1
+    return symbol, EXTRA[symbol].astype(np.int64), values - LEAST[symbol]
+
+
+def put_green(w: Writer, samples: np.ndarray, alpha: int) -> None:
+    """The main image of green samples, the others fixed: red and blue 0."""
+    w.put(0, 2)  # no colour cache, one group of codes
+    copies = repeats(samples)
+    if copies:
+        start, length, far = (np.array(c, np.int64) for c in zip(*copies, strict=True))
+        begun = np.zeros(len(samples) + 1, np.int64)
+        begun[start] += 1
+        begun[start + length] -= 1
+        copied = np.cumsum(begun[:-1]) > 0
+        literal = np.flatnonzero(~copied)
+        symbol, extra, rest = prefixed(length)
+        distance, extra2, rest2 = prefixed(far + len(DISTANCES))
+        place = np.concatenate((literal, start))
+        token = np.concatenate((samples[literal].astype(np.int64), 256 + symbol))[np.argsort(place, kind="stable")]
+    else:
+        token = samples.astype(np.int64)
+    counts = np.bincount(token, minlength=GREEN_SYMBOLS)
     lengths = code_lengths(counts.tolist(), 12)
     put_code(w, lengths)
-    for s in (0, 0, 255, 0):
+    for s in (0, 0, alpha):
         put_code(w, [0] * s + [1])
-    if np.count_nonzero(counts) > 1:
-        sizes = np.array(lengths, np.int64)
-        order, codes = canonical(sizes)
-        code = np.zeros(len(sizes), np.int64)
-        code[order] = codes
-        body, n = packed(code[samples], sizes[samples])
+    lengths2 = code_lengths(np.bincount(distance, minlength=DISTANCE_SYMBOLS).tolist(), 12) if copies else [1]
+    put_code(w, lengths2)
+    sizes, code = coded(lengths)
+    code, sizes = code[token], sizes[token]
+    if copies:
+        # A copy's parts go behind its symbol: its length's extra bits, the distance's symbol and its extra bits.
+        sizes2, code2 = coded(lengths2)
+        at = np.flatnonzero(token > 255)
+        for part, n in ((rest, extra), (code2[distance], sizes2[distance]), (rest2, extra2)):
+            code[at] |= part << sizes[at]
+            sizes[at] += n
+    if sizes.any():
+        body, n = packed(code, sizes)
         w.put(int.from_bytes(body, "little"), n)
+
+
+def coded(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, code) of each symbol; a code of one symbol takes no bits."""
+    sizes, code = np.array(lengths, np.int64), np.zeros(len(lengths), np.int64)
+    if np.count_nonzero(sizes) < 2:
+        return np.zeros_like(sizes), code
+    order, codes = canonical(sizes)
+    code[order] = codes & ((1 << sizes[order]) - 1)
+    return sizes, code
+
+
+@functools.cache
+def even_pixels(pixel: int, n: int) -> tuple[int, int]:
+    """The bits of an image inside of a transform whose pixels are all the same; and their number."""
+    w = Writer()
+    put_pixels(w, np.full(n, pixel, np.uint32))
+    return w.value, w.size
+
+
+def put_pixels(w: Writer, argb: np.ndarray) -> None:
+    """An image of literal pixels inside of a transform."""
+    w.put(0, 1)
+    parts = [channels(argb)[:, c] for c in (2, 1, 3, 0)]
+    tables = []
+    for part, n in zip(parts, (GREEN_SYMBOLS, 256, 256, 256), strict=True):
+        lengths = code_lengths(np.bincount(part, minlength=n).tolist(), 12)
+        put_code(w, lengths)
+        tables.append(coded(lengths))
+    put_code(w, [1])
+    for pixel in zip(*parts, strict=True):
+        for s, (sizes, code) in zip(pixel, tables, strict=True):
+            w.put(int(code[s]), int(sizes[s]))
+
+
+def entropy(samples: np.ndarray) -> float:
+    share = np.bincount(samples.ravel(), minlength=256) / samples.size
+    share = share[share > 0]
+    return float(-(share * np.log2(share)).sum())
+
+
+def encode_grey(samples: np.ndarray, width: int) -> bytes:
+    """A VP8L stream of (n,) samples as red, green and blue alike, opaque; n is a multiple of ``width``."""
+    height = len(samples) // width
+    w = Writer()
+    w.put(SIGNATURE, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(0, 4)
+    colours = np.flatnonzero(np.bincount(samples, minlength=256)).astype(np.uint8)
+    if len(colours) <= FEW_COLOURS:
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(colours) - 1, 8)
+        steps = np.diff(colours, prepend=np.uint8(0))
+        opaque = np.where(np.arange(len(colours)) == 0, 255, 0).astype(np.uint8)
+        put_pixels(w, joined(np.stack((opaque, steps, steps, steps), axis=1)))
+        pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+        place = np.searchsorted(colours, samples).reshape(height, width >> pack, 1 << pack)
+        samples = (place << (np.arange(1 << pack) * (8 >> pack))).sum(2).astype(np.uint8).ravel()
+        w.put(0, 1)
+        put_green(w, samples, 255)
+        return w.bytes()
+    grid, plain, alpha = samples.reshape(height, width), entropy(samples), 255
+    left = np.diff(grid, axis=1, prepend=np.concatenate((np.zeros((1, 1), np.uint8), grid[:-1, :1])))
+    top = np.diff(grid, axis=0, prepend=np.zeros((1, width), np.uint8))
+    top[0] = left[0]
+    cost, mode, best = min((entropy(left), 1, left), (entropy(top), 2, top), key=lambda x: x[0])
+    if cost < plain:
+        # Where a predictor pays, it is the same in every block. The pixels are opaque, so its alpha residuals are zero.
+        samples, alpha = best.ravel(), 0
+        w.put(1, 1)
+        w.put(PREDICTOR, 2)
+        w.put(7, 3)
+        w.put(*even_pixels(255 << 24 | mode << 8, -(-width >> 9) * -(-height >> 9)))
+    w.put(1, 1)
+    w.put(CROSS_COLOUR, 2)
+    w.put(7, 3)
+    w.put(*even_pixels(255 << 24 | ALL_GREEN << 8 | ALL_GREEN, -(-width >> 9) * -(-height >> 9)))
+    w.put(0, 1)
+    put_green(w, np.ascontiguousarray(samples), alpha)
     return w.bytes()
 
 
@@ -531,15 +758,18 @@ def riff(stream: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """A payload of a positive multiple of WIDTH bytes as WebP files."""
     samples = np.frombuffer(payload, np.uint8)
-    return b"".join(riff(encode_green(samples[i : i + IMAGE_BYTES], WIDTH)) for i in range(0, len(samples), IMAGE_BYTES))
+    return b"".join(riff(encode_grey(samples[i : i + IMAGE_BYTES], WIDTH)) for i in range(0, len(samples), IMAGE_BYTES))
 
 
 def load(media: bytes) -> bytes:
-    """The payload that ``store`` was given, from the pixels' green samples."""
+    """The payload that ``store`` was given: the pixels' samples, which must be grey and opaque."""
     at, parts = 0, []
     while at < len(media):
         pixels, at = decode_image(media, at)
-        parts.append(pixels[..., 2].tobytes())
+        grey = pixels[..., 2]
+        if not ((pixels[..., 1] == grey) & (pixels[..., 3] == grey)).all() or (pixels[..., 0] != 255).any():
+            raise ValueError("not a grey image")
+        parts.append(grey.tobytes())
     return b"".join(parts)
 
 

@@ -50,3 +50,13 @@ def test_table(spark, both):
             assert (g["n_tokens"], bytes(g["ids"]), g["ids_sha256"], g["decoded_sha256"]) == (len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert len(got[5]) == 2
     assert rows(bpe(docs(spark, []), PATH, public_tokenizers.PATTERN)) == []
+
+
+def test_large_vocabulary():
+    """Ranks beyond 65,536 need wider pair keys; here the ranks of a small vocabulary are spread."""
+    words = [bytes([i]) for i in range(256)] + [b"ab", b"abc", b"cd", b"abcd", b"dd", b"  ", b"    "]
+    ranks = {w: i if i < 256 else 70_000 + 3 * i for i, w in enumerate(words)}
+    ours = Vocabulary(b"".join(base64.b64encode(w) + b" %d\n" % r for w, r in ranks.items()), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("wide", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ("abcd", "abcdabcdd" * 20, "     abc  cd", ""):
+        assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import zlib
@@ -187,6 +188,75 @@ def test_payloads_round_trip():
             assert load(store(payload)) == payload
 
 
+FOREIGN = {  # written by the format's own library
+    "UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==": [[[0, 0, 0, 0]]],
+    "UklGRh4AAABXRUJQVlA4TBEAAAAvAQAAAAfQ//73v/+BiOh/AAA=": [[[255, 255, 255, 255], [255, 255, 255, 255]]],
+}
+
+
+@pytest.mark.parametrize("data", sorted(FOREIGN))
+def test_foreign_files(data):
+    assert decode_image(base64.b64decode(data))[0].tolist() == FOREIGN[data]
+
+
+def samples_of(kind, n, r):
+    words = [bytes(r.choices(b"etaoinshrdlu", k=r.randrange(2, 9))) for _ in range(40)]
+    text = b" ".join(r.choice(words) for _ in range(n))[:n]
+    steady = bytes((i // 3 + i % 64 * 2) % 256 for i in range(n))
+    columns = bytes((i % 64 * 37 + i // 64) % 256 for i in range(n))
+    return {"text": text, "ramp": steady, "columns": columns, "few": bytes(r.choices(b"0123456789", k=n)), "two": bytes(r.choices(b"ab", k=n)), "one": b"z" * n, "noise": r.randbytes(n), "copies": (text[:700] * n)[:n]}[kind]
+
+
+@pytest.mark.parametrize("kind", ["text", "ramp", "columns", "few", "two", "one", "noise", "copies"])
+def test_what_the_writer_uses(kind, monkeypatch):
+    """Media use transforms and references, and reading pixel by pixel gives what reading by arrays gives."""
+    r, asked = random.Random(4), []
+    green = webp.read_green
+
+    def slowly(reader, width, height, code):
+        at = reader.at
+        fast = green(reader, width, height, code)
+        end, reader.at = reader.at, at
+        slow, copies = [], 0
+        while len(slow) < width * height:
+            s = code[0].read(reader)
+            if s < 256:
+                slow.append(code[3].single << 24 | code[1].single << 16 | s << 8 | code[2].single)
+                continue
+            copies += 1
+            length = webp.count_and_bits(s - 256, reader)
+            far = webp.count_and_bits(code[4].read(reader), reader)
+            far = far - 120 if far > 120 else max(1, webp.DISTANCES[far - 1][0] + webp.DISTANCES[far - 1][1] * width)
+            for _ in range(length):
+                slow.append(slow[-far])
+        assert reader.at == end and slow == fast.tolist()
+        asked.append(copies)
+        return fast
+
+    monkeypatch.setattr(webp, "read_green", slowly)
+    for n in (64, 640, 6400):
+        payload = samples_of(kind, n, r)
+        assert load(store(payload)) == payload
+    assert any(asked) or kind in ("few", "two", "noise")
+    whole = samples_of("text", 20_000 // 64 * 64, r)
+    assert len(store(whole)) < 0.6 * len(whole)
+
+
+def test_references_outside_of_the_image_raise():
+    p = np.zeros((4, 16, 4), np.uint8)
+    p[..., 0], p[..., 2] = 255, np.arange(64).reshape(4, 16)
+    for refs in ({3: (4, 120 + 9)}, {0: (2, 1)}):
+        with pytest.raises(ValueError, match="outside"):
+            decode_stream(lossless(p, references=refs))
+    assert (decode_stream(lossless(p)) == p).all()
+
+
+def test_odd_keys(spark):
+    given = spark.createDataFrame([(None, "a"), (None, "a"), (3, None)], "doc_id long, text string")
+    got = media_digests(media(given)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "None", "None"] and len({r["media_sha256"] for r in got}) == 2
+
+
 def test_codes_are_limited_in_length():
     fib = [1, 1]
     while len(fib) < 40:
