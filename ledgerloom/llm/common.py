@@ -98,6 +98,16 @@ def scratch_scope() -> Iterator[None]:
             s.close()
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame, alias: str = "row") -> Column:
+    """All columns, whatever their names, as one struct."""
+    return F.struct(*[named(c) for c in df.columns]).alias(alias)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch, each of at most ``limit`` bytes of text (or of one row)."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

@@ -5,12 +5,14 @@ as the only metadata (label, language, source and key are never looked at). The
     bias + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),
 the sum-of-squares identity, so all pairwise interactions cost time linear in the features.
 
-It is fitted on the driver with at most ``sample`` labelled rows, picked by the hash of their key;
+It is fitted on the driver with at most ``sample`` labelled rows, picked by the hash of their key. Executors turn
+their texts into features, so what the driver sees of a row is at most ``SIZE`` numbers, however long its text;
 scoring needs no shuffle, and what is broadcast has the fixed size of the weights.
 
 Results for odd input: null text is empty text; an empty text has a score (that of the bias and of
 its form); documents of any length are scored whole; equal texts get equal scores; without labels of
-both kinds every score is the share of label 1 (0.5 without labels at all).
+both kinds every score is the share of label 1 (0.5 without labels at all). Null and repeated keys are rows like others (of a
+labelled key that repeats one text is learnt from); an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import text_slices
+from ledgerloom.llm.common import text_slices, whole_row
 
 #: Buckets of hashed words, factors of each feature, labelled rows fitted at most.
 WORD_BUCKETS, FACTORS, SAMPLE = 1 << 14, 8, 3000
@@ -133,24 +135,30 @@ class Machine:
         return self
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str, key: str) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``sample`` labelled rows that are not held out, picked by hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str, key: str) -> DataFrame:
+    """(_id, _text, _label) of at most ``sample`` labelled rows that are not held out, picked by the hash of their key."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(F.col(key))).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_label"))
     picked = known.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
-    got = rows.select("_id", "_text", "_label").orderBy(F.xxhash64("_id"), "_id", "_text").limit(sample).collect()
-    return [(r["_text"], r["_label"]) for r in got]
+    return rows.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> Machine:
-    got = labelled_sample(docs, labels, label, sample, text, key)
-    y = np.array([x for _, x in got], float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "_text"):
+                rows = [features(t) for t in part.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"h": part.column("h"), "y": part.column("_label"), "index": pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), "value": pa.array([v.tobytes() for _, v in rows], pa.binary())})
+
+    rows = labelled_sample(docs, labels, label, sample, text, key).withColumn("h", F.xxhash64("_id"))
+    got = rows.select("h", "_label", "_text").mapInArrow(run, "h long, y int, index binary, value binary").toArrow().sort_by("h")
+    y = got.column("y").to_numpy().astype(float)
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     machine = Machine(float(np.log(share / (1 - share))))
     if len(set(y.tolist())) < 2:
         machine.v[:] = 0
         return machine
-    return machine.fit([features(t) for t, _ in got], y)
+    return machine.fit([(np.frombuffer(i, np.int32), np.frombuffer(v)) for i, v in zip(got.column("index").to_pylist(), got.column("value").to_pylist(), strict=True)], y)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality", sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -179,7 +187,7 @@ def scored(docs: DataFrame, text: str, threshold: float, score) -> DataFrame:
                 s = score([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["row", "score", "predicted"])
 
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, schema)
+    return docs.select(whole_row(docs)).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.quality import FACTORS, Machine, features, is_held_out, quality
-from ledgerloom.llm.toxicity import CLASSES, Restorer, restored_words, toxicity, trigram_counts
+from ledgerloom.llm.quality import fitted as quality_fitted
+from ledgerloom.llm.toxicity import CLASSES, Restorer, Scorer, cluster, evidence, restored_words, tail, toxicity, trigram_counts, weigh
+from ledgerloom.llm.toxicity import fitted as toxicity_fitted
 from tests.llm.helpers import DOCS, clashing, docs, rows
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ter", "dan", "sol") for b in ("na", "ris", "ven", "do", "pel", "gra")]
@@ -141,3 +143,77 @@ def test_doubled_letters_and_signs_at_edges_are_restored():
     restorer = restorer_of_words()
     for noisy, word in (("stuupid", "stupid"), ("iidiot", "idiot"), ("mooron", "moron"), ("*diot", "idiot"), ("(lown", "clown"), ("(idiot)", "idiot"), ("**moron**", "moron"), ("you're a \"stup!d\"", "stupid")):
         assert word in restored_words(noisy, restorer, {}), noisy
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "     ", "\t", "\n", " \n\n ", ".", "-", "_", "~", "*", "·", ",", "/", "\\", "'", " . ", "\u00a0"])
+@pytest.mark.parametrize("letters", [6, 41, 400])
+def test_every_separator_and_length(gap, letters):
+    restorer = restorer_of_words()
+    noisy = gap.join(("solnakarismiter" * letters)[: letters - 6] + "stupid")
+    assert any(w.startswith("stupid") for w in restored_words(f"you {noisy}", restorer, {}))
+
+
+def test_forty_thousand_letters():
+    restorer = restorer_of_words()
+    for noisy in (" ".join("solnakaris" * 4000 + "stupid"), "5" + "".join("solnakaris" * 4000) + "5tup1d", "stu" + "u" * 40_000 + "pid"):
+        assert restored_words(noisy, restorer, {})
+    assert any(w.startswith("stupid") for w in restored_words("stu" + "u" * 40_000 + "pid", restorer, {}))
+    assert any(w.startswith("stupid") for w in restored_words(" ".join("solnakaris" * 4000 + "stupid"), restorer, {}))
+
+
+def test_weights_are_not_chance_and_longer_stems_explain_shorter_ones():
+    got = weigh([("lose", 40, 30), ("loser", 40, 0), ("loser$", 40, 0), ("rare", 3, 0), ("fine", 0, 400), ("both", 30, 270)], 300, 2700)
+    assert set(got) == {"loser", "loser$", "fine"} and got["loser"] > 0 > got["fine"]
+    assert tail(0, 9, 0.1) == 1 and tail(2, 2, 0.1) == pytest.approx(0.01) and tail(1, 2, 0.5) == pytest.approx(0.75)
+    scorer = Scorer(restorer_of_words(), {"stupi": 4.0, "solna": -3.0}, (1.0, 0.5, -1.0), -1.0)
+    assert scorer.score("solna solna dan") < scorer.score("dan") < scorer.score("st00pid stup1d solna")
+    assert evidence([4.0, -3.0, 1.0]) == (4.0, pytest.approx(np.log(6)), pytest.approx(np.log(4)))
+
+
+def test_near_copies_are_learnt_from_once():
+    base = [f"w{i}" for i in range(200)]
+    keys = {cluster(" ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(50)}
+    assert len(keys) <= 5 and cluster("") == cluster("  ") and cluster("a b") != cluster("a c")
+
+
+def plain_scores(given, labels, f):
+    """Scores by a plain loop over all rows, with the fitted model alone taken from the operator's module."""
+    if f is quality:
+        machine = quality_fitted(given, labels)
+        return {(r["doc_id"], r["text"]): 1 / (1 + np.exp(-machine.margin(*features(r["text"] or "")))) for r in given.collect()}
+    counts, weights, slopes, bias = toxicity_fitted(given, labels)
+    own = sum(trigram_counts(r["text"] or "") for r in given.collect())
+    assert (counts >= own).all() and counts[CLASSES**2 :].sum() == own[CLASSES**2 :].sum()
+    restorer, out = Restorer(counts), {}
+    for r in given.collect():
+        found = []
+        for w in restored_words(r["text"] or "", restorer, {}):
+            every = [weights[s] for n in range(len(w) + 1) for s in ({w[:n]} if 4 <= n <= 7 else set()) if s in weights] + [weights[s] for s in [w + "$"] if s in weights]
+            if every:
+                found.append(max(every) if max(every) > 0 else min(every))
+        up, down = [x for x in found if x > 0], [-x for x in found if x < 0]
+        margin = slopes[0] * max(up, default=0) + slopes[1] * np.log1p(sum(up)) + slopes[2] * np.log1p(sum(down)) + bias
+        out[r["doc_id"], r["text"]] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+    return out
+
+
+@pytest.mark.parametrize("f", [quality, toxicity])
+def test_whole_result_by_a_plain_loop(tables, f):
+    df, labels, _ = tables
+    given = df.where("doc_id between 100 and 400").unionByName(docs(df.sparkSession))
+    want = plain_scores(given, labels, f)
+    got = f(given, labels).collect()
+    ids = {k: v for (k, _), v in want.items()}
+    assert len(got) == given.count()
+    for r in got:
+        assert r["score"] == pytest.approx(ids[r["doc_id"]], abs=1e-9)
+
+
+def test_columns_of_any_name(spark, tables):
+    _, labels, _ = tables
+    odd = docs(spark).withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
+    from ledgerloom.llm.quality import quality_scores
+    from ledgerloom.llm.toxicity import toxicity_scores
+
+    for f in (quality_scores, toxicity_scores):
+        assert f(odd, labels).select("row.*").columns == odd.columns
