@@ -13,8 +13,8 @@ roles are written as %0A and %25. The loss mask is a list of spans, in bytes of
 for each assistant turn.
 
 Results for odd input: null text and null role are empty; nodes without a tree or an id are left out;
-a node whose parent is not in its tree is a root; a repeated node id makes a path for each of its rows
-at a leaf; an empty table gives no rows; parents that form a circle raise ValueError; other columns of
+a node whose parent is not in its tree is a root; of rows with one node id each makes a path of its own where it is a
+leaf, and the first (by parent, role, text and score) stands for all of them where it is not; an empty table gives no rows; parents that form a circle raise ValueError; other columns of
 the input are not looked at.
 """
 
@@ -56,26 +56,41 @@ def chains(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 
 
 def paths(nodes: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
-    """(tree, leaf, node, above): every leaf with each node on its path, ``above`` steps up."""
-    skeleton = scratch.save("skeleton", nodes.where("tree is not null and node is not null").select("tree", "node", "parent").distinct())
-    own = skeleton.select("tree", "node").distinct()
-    parents = own.select("tree", F.col("node").alias("up"))
-    jump = skeleton.where("parent is not null").select("tree", "node", F.col("parent").alias("up")).join(parents, ["tree", "up"], "left_semi").select("tree", "node", "up")
+    """(tree, leaf, copy, node, at, above): every leaf (a row of a leaf's id, its ``copy``) with each node on its path, ``above`` steps up.
+
+    ``at`` is the copy of the node: the leaf's own, and 1 above it. ``nodes`` has tree, node, copy and parent.
+    """
+    skeleton = scratch.save("skeleton", nodes.select("tree", "node", "copy", "parent"))
+    own = skeleton.select("tree", "node", "copy")
+    parents = own.where("copy = 1").select("tree", F.col("node").alias("up"))
+    jump = skeleton.where("parent is not null").select("tree", "node", "copy", F.col("parent").alias("up")).join(parents, ["tree", "up"], "left_semi").select("tree", "node", "copy", "up")
     jumps = [scratch.save("jump-0", jump)]
     while not jumps[-1].isEmpty():
         if len(jumps) > most:
             raise ValueError("parents form a circle")
         a = jumps[-1]
-        b = a.select("tree", F.col("node").alias("up"), F.col("up").alias("far"))
-        jumps.append(scratch.save(f"jump-{len(jumps)}", a.join(b, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"))))
+        b = a.where("copy = 1").select("tree", F.col("node").alias("up"), F.col("up").alias("far"))
+        jumps.append(scratch.save(f"jump-{len(jumps)}", a.join(b, ["tree", "up"]).select("tree", "node", "copy", F.col("far").alias("up"))))
     inner = jumps[0].select("tree", F.col("up").alias("node"))
-    out = own.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
+    out = own.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "copy", "node", F.col("copy").alias("at"), F.lit(0).cast("long").alias("above"))
     for k, jump in enumerate(jumps[:-1]):
-        further = out.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
+        up = jump.withColumnRenamed("copy", "at")
+        further = out.join(up, ["tree", "node", "at"]).select("tree", "leaf", "copy", F.col("up").alias("node"), F.lit(1).alias("at"), (F.col("above") + (1 << k)).alias("above"))
         out = scratch.save(f"paths-{k}", out.unionByName(further))
+        scratch.drop(f"paths-{k - 1}", f"jump-{k}")
     return out
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``copy``: 1, 2, .. among the rows of one id. Where no id repeats, the rows do not move."""
+    repeated = nodes.groupBy("tree", "node").count().where("count > 1").select("tree", "node")
+    if repeated.isEmpty():
+        return nodes.withColumn("copy", F.lit(1))
+    order = Window.partitionBy("tree", "node").orderBy("parent", "role", "text", "score")
+    many = nodes.join(repeated, ["tree", "node"], "left_semi").withColumn("copy", F.row_number().over(order))
+    return nodes.join(repeated, ["tree", "node"], "left_anti").withColumn("copy", F.lit(1)).unionByName(many)
+
+
 def format_trees(nodes: DataFrame, branches: int | None = 1, trained: str = "assistant") -> DataFrame:
     """(tree, leaf, rank, formatted, loss_spans) of the ``branches`` best paths of each tree (None: of all).
 
@@ -83,13 +98,15 @@ def format_trees(nodes: DataFrame, branches: int | None = 1, trained: str = "ass
     array of (start, length) in bytes.
     """
     scratch = Scratch(nodes.sparkSession)
-    nodes = scratch.save("nodes", nodes.where("tree is not null and node is not null").select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
+    given = scratch.save("given", nodes.where("tree is not null and node is not null").select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
+    nodes = numbered(given)
     steps = paths(nodes, scratch)
-    sums = steps.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
-    best = sums.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
+    spot = [F.col("copy").alias("at") if c == "copy" else F.col(c) for c in ("tree", "node", "copy")]
+    sums = steps.join(nodes.select(*spot, "score"), ["tree", "node", "at"]).groupBy("tree", "leaf", "copy").agg(F.sum("score").alias("total"))
+    best = sums.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf", "copy")))
     if branches is not None:
         best = best.where(F.col("rank") <= branches)
-    turns = steps.join(best.select("tree", "leaf", "rank"), ["tree", "leaf"]).join(nodes, ["tree", "node"])
+    turns = steps.join(best.select("tree", "leaf", "copy", "rank"), ["tree", "leaf", "copy"]).join(nodes.select(*spot, "role", "text"), ["tree", "node", "at"])
     head = F.concat(F.lit(BEGIN), escape_role(F.col("role")), F.lit("\n"))
     turns = turns.select("tree", "leaf", "rank", "above", "role", head.alias("head"), escape(F.col("text")).alias("body"))
     order = Window.partitionBy("tree", "leaf", "rank").orderBy(F.desc("above"), "role", "head", "body")

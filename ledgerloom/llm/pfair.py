@@ -11,8 +11,8 @@ are one stream, ``OTHER``. When a stream runs out, the phase ends and the others
 weights' shares of what is left. Every document is in the mix exactly once.
 
 Results for odd input: a null key or text is a row like any other; a repeated row has a place of
-its own (equal keys go by the other columns given in ``ties``); an empty table gives no rows; a source of weight 0
-comes last; other columns are kept. Weights are non-negative integers, at most ``MOST`` streams and slots a period.
+its own (equal keys, null ones too, are spread and ordered by the columns given in ``ties``); an empty table gives no rows; a source of weight 0
+comes last; other columns are kept, whatever their names. Weights are non-negative integers, at most ``MOST`` streams and slots a period.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import dealt_rank
+from ledgerloom.llm.common import dealt_rank, named, rank_buckets, whole_row
 
 OTHER = "*"
 #: Rows of a block, streams at most, slots of a period at most: the driver's work and what is broadcast is bounded by these.
@@ -81,16 +81,17 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
 
 
 def mixed(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, key: str = "doc_id", source: str = "source", ties: tuple[str, ...] = ("source",)) -> DataFrame:
-    """``docs`` with _stream, _block, _release, _due (slots of the phase), _phase, _slot (of the whole mix) and _offset (in the block).
+    """(row, _stream, _block, _release, _due (slots of the phase), _phase, _slot (of the whole mix), _offset (in the block)): row is the whole row of ``docs``.
 
     Ordered by (_slot, _offset) the rows are the mix. Rows are ranked in two steps, so no source meets
     in one task; the streams' sizes are the only thing collected.
     """
     if len(weights) > MOST or sum(weights.values()) > MOST_SLOTS or any(p < 0 or p != int(p) for p in weights.values()):
         raise ValueError(f"weights are at most {MOST} non-negative integers of a sum of at most {MOST_SLOTS}")
-    named = [s for s in weights if s != OTHER]
-    stream = F.when(F.col(source).isin(named), F.col(source)).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
-    rows = docs.withColumn("_stream", stream)
+    known = [s for s in weights if s != OTHER]
+    stream = F.when(named(source).isin(known), named(source)).otherwise(F.lit(OTHER)) if known else F.lit(OTHER)
+    # The rows' own columns are out of the way in a struct, so theirs and the schedule's names don't clash.
+    rows = docs.select(whole_row(docs), stream.alias("_stream"))
     sizes = {r["_stream"]: r["n"] for r in rows.groupBy("_stream").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = phases({s: ceil(n / block) for s, n in sizes.items()}, weights)
 
@@ -104,8 +105,9 @@ def mixed(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, key: str
     runs = spark.createDataFrame(table, "_stream string, _phase int, _first long, _end long, _start long, _total long, _weight long")
     places = spark.createDataFrame(pattern, "_stream string, _phase int, _nth long, _at long")
 
-    spread = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    ranked = dealt_rank(rows.withColumn("_spread", spread), ["_stream"], [F.col("_spread"), F.col(key), *[F.col(c) for c in ties]], F.col("_spread"), "_rank").drop("_spread")
+    own = [F.col("row")[c] for c in (key, *ties)]
+    spread = F.xxhash64(F.coalesce(own[0].cast("string"), F.lit("")), *own[1:])
+    ranked = dealt_rank(rows.withColumn("_spread", spread), ["_stream"], [F.col("_spread"), *own], F.col("_spread"), "_rank", rank_buckets(sum(sizes.values()))).drop("_spread")
     ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_offset", (F.col("_rank") % block).cast("int")).drop("_rank")
     # Both tables are bounded by MOST streams and their periods, not by the data.
     joined = ranked.join(F.broadcast(runs.withColumnRenamed("_stream", "_s")), (F.col("_stream") == F.col("_s")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end"))).drop("_s")
@@ -120,7 +122,8 @@ def mixed(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, key: str
     )
 
 
-def mix_places(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, key: str = "doc_id", source: str = "source") -> DataFrame:
+def mix_places(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(key, source, stream, block, release, due, phase, slot, block_offset) of every row."""
-    rows = mixed(docs.select(key, source), TARGETS if weights is None else weights, block, key, source)
-    return rows.select(key, source, F.col("_stream").alias("stream"), F.col("_block").cast("long").alias("block"), F.col("_release").cast("long").alias("release"), F.col("_due").cast("long").alias("due"), F.col("_phase").alias("phase"), F.col("_slot").cast("long").alias("slot"), F.col("_offset").alias("block_offset"))
+    slim = docs.select(named(key).alias("key"), named(source).alias("source"), F.xxhash64(named(text)).alias("tie")) if text in docs.columns else docs.select(named(key).alias("key"), named(source).alias("source"), F.lit(0).alias("tie"))
+    rows = mixed(slim, TARGETS if weights is None else weights, block, "key", "source", ("source", "tie"))
+    return rows.select(F.col("row.key").alias(key), F.col("row.source").alias(source), F.col("_stream").alias("stream"), F.col("_block").cast("long").alias("block"), F.col("_release").cast("long").alias("release"), F.col("_due").cast("long").alias("due"), F.col("_phase").alias("phase"), F.col("_slot").cast("long").alias("slot"), F.col("_offset").alias("block_offset"))

@@ -28,7 +28,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, dealt_rank
+from ledgerloom.llm.common import Scratch, dealt_rank, rank_buckets
 
 SHARDS, POOL_BUCKETS, VOTE_BUCKETS = 24, 2048, 64
 #: A group of more than this part of a quota finds its home on the driver.
@@ -98,6 +98,16 @@ def _homes(units: DataFrame, room: list[int], scratch: Scratch) -> tuple[DataFra
         left = asked.where("target is null").drop("target")
 
 
+def cut_edges(sharded: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row (links, cut): links of a chain through each group of equal texts, and those among them that cross shards at the least.
+
+    ``key`` is taken to be unique. A group in k shards cuts at least k - 1 links.
+    """
+    groups = docs.select(F.col(key).alias("_k"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_g"))
+    each = sharded.join(groups, F.col(key) == F.col("_k")).groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").alias("k"))
+    return each.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("cut"))
+
+
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
@@ -119,17 +129,18 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", k
     placed = rows.where(~large).join(homes, "g").select(*columns, "shard")
     if parts:
         sent = F.broadcast(docs.sparkSession.createDataFrame(parts, "g binary, start long, end long, shard int"))
-        ranked = dealt_rank(rows.where(large), ["g"], [F.col("h"), F.col("id")], F.col("h"), "place")
+        ranked = dealt_rank(rows.where(large), ["g"], [F.col("h"), F.col("id")], F.col("h"), "place", rank_buckets(total))
         placed = placed.unionByName(ranked.join(sent, "g").where("place >= start and place < end").select(*columns, "shard"))
     # What found no home is dealt first, to the largest rooms, a group's rows one after another.
     first = rows.where(~large).join(left.select("g"), "g").select(*columns, F.lit(0).alias("turn"), F.xxhash64("g").alias("by"))
     pool = first.unionByName(base.join(groups, "g", "left_anti").select(*columns, F.lit(1).alias("turn"), F.col("h").alias("by")))
     ahead = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    dealt = dealt_rank(pool, ["turn"], [F.col("by"), F.col("h"), F.col("g"), F.col("id")], F.col("by"), "place", POOL_BUCKETS).withColumn("place", F.col("place") + F.col("turn") * ahead)
+    dealt = dealt_rank(pool, ["turn"], [F.col("by"), F.col("h"), F.col("g"), F.col("id")], F.col("by"), "place", max(POOL_BUCKETS, rank_buckets(total))).withColumn("place", F.col("place") + F.col("turn") * ahead)
     roomy = sorted(range(shards), key=lambda k: -room[k])
     ends = list(accumulate(room[k] for k in roomy))
     turn = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("place")))
     dealt = dealt.withColumn("shard", _by_shard(roomy, turn).cast("int"))
     done = scratch.save("done", placed.unionByName(dealt.select(*columns, "shard")))
-    out = dealt_rank(done, ["shard"], [F.col("h"), F.col("g"), F.col("id")], F.col("h"), "slot")
+    out = dealt_rank(done, ["shard"], [F.col("h"), F.col("g"), F.col("id")], F.col("h"), "slot", rank_buckets(total // shards))
+    scratch.keep("done")
     return out.select(F.col("id").alias(key), "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -44,6 +44,47 @@ def test_branches_are_ranked(spark):
     assert sorted((r["tree"], r["leaf"]) for r in format_trees(df).collect()) == [(1, 4), (2, 1)]
 
 
+def test_repeated_node_ids(spark):
+    """Rows of a leaf's id are leaves of their own; of an inner node's id the first row counts, once."""
+    nodes = [(1, 1, None, "user", "q", 1.0), (1, 1, None, "user", "z", 9.0), (1, 2, 1, "assistant", "a", 1.0), (1, 2, 1, "assistant", "b", 2.0), (1, 2, 1, "assistant", "b", 2.0), (2, 5, None, "user", "alone", None), (2, 5, None, "user", "alone", None)]
+    df = spark.createDataFrame(nodes, "tree long, node long, parent long, role string, text string, score double").withColumn("copy", F.lit(7)).withColumn("at", F.lit("x"))
+    got = sorted((r["tree"], r["leaf"], r["rank"], [x["text"] for x in r["t"]], r["loss"]) for r in format_trees(df, None).select("tree", "leaf", "rank", parse(F.col("formatted")).alias("t"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect())
+    assert got == [(1, 2, 1, ["q", "b"], "b"), (1, 2, 2, ["q", "b"], "b"), (1, 2, 3, ["q", "a"], "a"), (2, 5, 1, ["alone"], ""), (2, 5, 2, ["alone"], "")]
+
+
+def plain_paths(nodes):
+    """Every root-to-leaf path of a tree, best sum first, equal ones by leaf."""
+    by = {n: (p, role, text, s) for n, p, role, text, s in nodes}
+    inner = {p for p, *_ in by.values() if p in by}
+    out = []
+    for leaf in by:
+        if leaf not in inner:
+            path, n = [], leaf
+            while n is not None:
+                path.append(n)
+                n = by[n][0] if by[n][0] in by else None
+            out.append((-sum(by[n][3] for n in path), leaf, [by[n][2] for n in reversed(path)]))
+    return [(leaf, i + 1, texts) for i, (_, leaf, texts) in enumerate(sorted(out))]
+
+
+@pytest.mark.parametrize("branches", [1, 3, None])
+def test_random_trees_by_a_plain_loop(spark, branches):
+    import random
+
+    r = random.Random(8)
+    rows_, want = [], {}
+    for tree in range(12):
+        ids = r.sample(range(1000), r.randrange(1, 40))
+        nodes = [(n, r.choice(ids[:i]) if i and r.random() < 0.9 else r.choice([None, 5000]), r.choice(["user", "assistant"]), f"t{n} {r.choice(NASTY)}", float(r.randrange(5))) for i, n in enumerate(ids)]
+        rows_ += [(tree, *n) for n in nodes]
+        want[tree] = plain_paths(nodes)[:branches]
+    df = spark.createDataFrame(rows_, "tree long, node long, parent long, role string, text string, score double")
+    got = {}
+    for x in format_trees(df, branches).select("tree", "leaf", "rank", parse(F.col("formatted")).alias("t")).collect():
+        got.setdefault(x["tree"], []).append((x["leaf"], x["rank"], [y["text"] for y in x["t"]]))
+    assert {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()} == want
+
+
 def test_deep_path_and_circle(spark):
     n = 300
     deep = spark.range(n).select(F.lit(1).cast("long").alias("tree"), (F.col("id") + 1).alias("node"), F.when(F.col("id") > 0, F.col("id")).alias("parent"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(1.0).alias("score"))

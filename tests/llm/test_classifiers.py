@@ -183,7 +183,8 @@ def plain_scores(given, labels, f):
         return {(r["doc_id"], r["text"]): 1 / (1 + np.exp(-machine.margin(*features(r["text"] or "")))) for r in given.collect()}
     counts, weights, slopes, bias = toxicity_fitted(given, labels)
     own = sum(trigram_counts(r["text"] or "") for r in given.collect())
-    assert (counts >= own).all() and counts[CLASSES**2 :].sum() == own[CLASSES**2 :].sum()
+    inside = lambda c: c.reshape(CLASSES, CLASSES, CLASSES)[1:, 1:, 1:]
+    assert (inside(counts) == inside(own)).all() and inside(own).sum() > 1000
     restorer, out = Restorer(counts), {}
     for r in given.collect():
         found = []

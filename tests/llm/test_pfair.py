@@ -3,7 +3,9 @@ from collections import Counter, defaultdict
 from math import ceil, floor
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import rank_buckets
 from ledgerloom.llm.pfair import OTHER, TARGETS, mix_places, mixed, period, phases
 from tests.llm.helpers import DOCS, clashing, docs, rows
 
@@ -69,3 +71,48 @@ def test_odd_rows(spark):
     with pytest.raises(ValueError):
         mixed(docs(spark), {"a": -1})
     assert sum(TARGETS.values()) == 100
+
+
+def plain_mix(given, weights, block):
+    """The whole mix by one loop over slots: rows of each stream in the order of their hashes, earliest deadline first, phase by phase."""
+    queues = defaultdict(list)
+    for h, key, source in sorted(given, key=lambda x: (x[0] % rank_buckets(len(given)), x[0])):
+        queues[source if source in weights and source != OTHER else OTHER].append(key)
+    blocks = {s: [q[i : i + block] for i in range(0, len(q), block)] for s, q in queues.items()}
+    out, slot, phase = {}, 0, 0
+    while any(blocks.values()):
+        live = {s: weights.get(s, 0) for s in blocks if blocks[s]}
+        live = {s: p for s, p in live.items() if p} or dict.fromkeys(live, 1)
+        total, done, t = sum(live.values()), dict.fromkeys(live, 0), 0
+        while True:
+            released = [(ceil((done[s] + 1) * total / p), s) for s, p in live.items() if floor(done[s] * total / p) <= t]
+            due, s = min(released)
+            if not blocks[s]:
+                break
+            for i, key in enumerate(blocks[s].pop(0)):
+                out[key] = (s, phase, slot, i, floor(done[s] * total / live[s]), due)
+            done[s], slot, t = done[s] + 1, slot + 1, t + 1
+        phase += t > 0
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_mix_by_a_plain_loop(spark, seed):
+    r = random.Random(seed)
+    names = ["a", "b", "c", "d", None]
+    given = [(i, f"t{i}", None, r.choices(names, [50, 30, 10, 5, 5])[0], None) for i in range(700)]
+    weights = {"a": 3, "b": 2, "c": 1, "d": 0, OTHER: 1}
+    df = spark.createDataFrame(given, DOCS)
+    key = F.xxhash64(F.col("doc_id").cast("string"), "source", F.xxhash64("text"))
+    want = plain_mix([tuple(x) for x in df.select(key, "doc_id", "source").collect()], weights, 4)
+    got = {g["doc_id"]: (g["stream"], g["phase"], g["slot"], g["block_offset"], g["release"], g["due"]) for g in mix_places(df, weights, block=4).collect()}
+    assert got == want
+
+
+def test_names_that_clash_and_null_keys_are_spread(spark):
+    given = [(None, f"t{i}", "en", "a", i) for i in range(200)] + [(None, "same", "en", "a", 0)] * 5
+    df = spark.createDataFrame(given, DOCS).selectExpr("*", *[f"'x' as {c}" for c in ("_phase", "_first", "_bucket", "_stream", "_rank", "_spread", "_s", "_j", "_at")]).withColumn("a.b", F.lit(1))
+    got = mixed(df, {"a": 1}, 8, ties=("source", "text"))
+    assert got.select("row.*").columns == df.columns
+    places = got.select("_slot", "_offset", "row.text").collect()
+    assert sorted((p["_slot"], p["_offset"]) for p in places) == [(i // 8, i % 8) for i in range(205)] and sum(p["text"] == "same" for p in places) == 5

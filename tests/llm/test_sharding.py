@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from ledgerloom.llm.sharding import balanced_shards
+from ledgerloom.llm.sharding import balanced_shards, cut_edges
 from tests.llm.helpers import DOCS, clashing, docs, rows
 
 
@@ -91,3 +91,20 @@ def test_a_group_larger_than_a_shard_fills_shards(spark):
     got = balanced_shards(spark.createDataFrame(given, DOCS), shards=8).collect()
     check(got, given, 8)
     assert len({g["shard"] for g in got if g["doc_id"] < 250}) == 3
+
+
+def test_cut_edges_are_counted(spark):
+    r = random.Random(4)
+    given = [(i, f"t{r.randrange(60)}" if i < 300 else f"own {i}", None, None, None) for i in range(500)]
+    df = spark.createDataFrame(given, DOCS)
+    done = balanced_shards(df, shards=6)
+    where = defaultdict(list)
+    for g in done.collect():
+        where[given[g["doc_id"]][1]].append(g["shard"])
+    links, cut = sum(len(x) - 1 for x in where.values()), sum(len(set(x)) - 1 for x in where.values())
+    assert tuple(cut_edges(done, df).first()) == (links, cut)
+    # A deal by hash of the key alone cuts most links; propagation cuts hardly any.
+    dealt = sum(len({hash((k, t)) % 6 for k, u, *_ in given if u == t}) - 1 for t in where)
+    assert cut <= 0.02 * links < 0.5 * dealt
+    again = {g["doc_id"]: (g["shard"], g["slot"]) for g in balanced_shards(df.repartition(7), shards=6).collect()}
+    assert again == {g["doc_id"]: (g["shard"], g["slot"]) for g in done.collect()}
