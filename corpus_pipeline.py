@@ -7,8 +7,8 @@
    schedule, so reading the files by name reads the mix. Nothing is dropped or repeated;
 5. tokens: (doc_id, n_tokens, ids, ids_sha256, decoded_sha256), byte-level BPE.
 
-A row without an id is scored like others, is nobody's duplicate, and stays. Of rows with one id
-that are in one group, one stays. Columns beyond those of documents go along, whatever their names.
+A row without an id is scored like others, is nobody's duplicate, and stays. Rows with one id are documents of
+their own: of those in one group one stays, the first by text. Columns beyond those of documents go along, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe import bpe
-from ledgerloom.llm.common import Scratch
+from ledgerloom.llm.common import Scratch, named, scratch_scope, whole_row
 from ledgerloom.llm.jaccard import jaccard_classes
 from ledgerloom.llm.pfair import TARGETS, mixed
 from ledgerloom.llm.quality import quality_scores
@@ -39,23 +39,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    classes = Scratch(spark).save("near", jaccard_classes(docs.select("doc_id", "text")))
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    # Of the rows with one id (and so in one group) the first by text stays; rows without an id are not compared.
-    many = kept.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    one = many.groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row")).select("row.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    scratch = Scratch(spark)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        classes = scratch.save("near", jaccard_classes(docs.select("doc_id", "text")))
+        gone = classes.where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*map(named, docs.columns))
+    # Where ids repeat, a row is known by its id and text, so that only rows of similar texts fall together.
+    row = docs.where("doc_id is not null").select(whole_row(docs), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    classes = scratch.save("near", jaccard_classes(row, key="key").distinct())
+    first = row.select("key", "id", F.md5(F.col("text").cast("binary")).alias("by")).distinct().join(classes, "key").groupBy("component_id").agg(F.min_by("key", F.struct("id", "by")).alias("key"))
+    one = row.join(first.select("key"), "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return docs.where("doc_id is null").unionByName(one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    wrapped = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("_id"), docs["source"].alias("_source"), F.xxhash64(docs["text"]).alias("_tie"))
-    rows = mixed(wrapped, TARGETS, key="_id", source="_source", ties=("_tie",))
-    return rows.orderBy("_slot", "_offset").select("row.*")
+    wrapped = docs.select(whole_row(docs), F.col("doc_id").alias("id"), F.col("source").alias("source"), F.xxhash64("text").alias("tie"))
+    rows = mixed(wrapped, TARGETS, key="id", source="source", ties=("source", "tie"))
+    return rows.orderBy("_slot", "_offset").select("row.row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
     scratch, docs, last = Scratch(spark), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.save(name, stage(spark, docs, sf_dir))
+        with scratch_scope():
+            docs = scratch.save(name, stage(spark, docs, sf_dir))
         if last:
             scratch.drop(last)
         last = name
