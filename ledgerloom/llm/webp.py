@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +35,8 @@ from ledgerloom.llm.common import text_slices
 WIDTH, IMAGE_BYTES = 64, 1 << 18
 #: Shortest repeat that becomes a back-reference, longest one of a single reference, most colours of a palette.
 GRAM, LONGEST_COPY, FEW_COLOURS = 8, 4096, 16
+#: Bits of a sample's place in an image.
+PLACE_BITS = IMAGE_BYTES.bit_length()
 #: How much green the cross-colour transform takes out of red and blue, in 32nds: all of it.
 ALL_GREEN = 32
 
@@ -71,22 +72,23 @@ def code_lengths(counts: list[int], longest: int) -> list[int]:
         return lengths
     floor = 1
     while True:
-        heap = [(max(counts[s], floor), s) for s in used]
-        heapq.heapify(heap)
-        parent: dict[int, int] = {}
-        node = len(counts)
-        while len(heap) > 1:
-            n, a = heapq.heappop(heap)
-            m, b = heap[0]
-            heapq.heapreplace(heap, (n + m, node))
-            parent[a] = parent[b] = node
-            node += 1
-        depth = {node - 1: 0}
-        for x in range(node - 2, len(counts) - 1, -1):
+        # Leaves by weight, and inner nodes, whose weights rise by themselves: the two lightest are at the fronts.
+        leaves = sorted((max(counts[s], floor), s) for s in used)
+        weights, parent, inner, i, k = [n for n, _ in leaves], [0] * (2 * len(leaves) - 1), [], 0, 0
+        for node in range(len(leaves), 2 * len(leaves) - 1):
+            total = 0
+            for _ in range(2):
+                if k == len(inner) or i < len(leaves) and weights[i] <= inner[k]:
+                    total, parent[i], i = total + weights[i], node, i + 1
+                else:
+                    total, parent[len(leaves) + k], k = total + inner[k], node, k + 1
+            inner.append(total)
+        depth = [0] * len(parent)
+        for x in range(len(parent) - 2, -1, -1):
             depth[x] = depth[parent[x]] + 1
-        for s in used:
-            lengths[s] = depth[parent[s]] + 1
-        if max(lengths) <= longest:
+        if max(depth) <= longest:
+            for (_, s), n in zip(leaves, depth, strict=False):
+                lengths[s] = n
             return lengths
         floor = 2 * floor
 
@@ -111,21 +113,21 @@ def reversed_bits(n: int) -> np.ndarray:
 
 
 REVERSED = reversed_bits(LONGEST_CODE)
+backwards = functools.cache(reversed_bits)
 
 
 class Code:
     """A prefix code: ``table`` has (symbol << 4 | length) for every value of the next ``bits`` bits."""
 
     def __init__(self, lengths: np.ndarray):
-        order, codes = canonical(lengths)
+        order, _ = canonical(lengths)
         self._list: list[int] | None = None
         if len(order) < 2:
             self.only(int(order[0]) if len(order) else 0)
             return
-        self.single, self.bits = None, int(lengths.max())
-        self.table = np.zeros(1 << self.bits, np.int32)
-        for s, n, c in zip(order.tolist(), lengths[order].tolist(), codes.tolist(), strict=True):
-            self.table[c :: 1 << n] = s << 4 | n
+        size = lengths[order]
+        self.single, self.bits = None, int(size[-1])
+        self.table = np.repeat((order << 4 | size).astype(np.int32), 1 << (self.bits - size))[backwards(self.bits)]
 
     def only(self, symbol: int) -> Code:
         """The code of one symbol, which takes no bits."""
@@ -192,16 +194,24 @@ def read_code(r: Reader, alphabet: int) -> Code:
     code = Code(own)
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
     lengths: list[int] = []
-    last = 8
+    last, used, table, mask = 8, 0, code.table.tolist(), (1 << code.bits) - 1
+    ahead = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 2 * alphabet + 2], "little") >> (r.at & 7)
     while len(lengths) < alphabet and left:
         left -= 1
-        x = code.read(r)
+        x = table[ahead & mask]
+        n, x = x & 15, x >> 4
+        ahead >>= n
+        used += n
         if x < 16:
             lengths.append(x)
             last = x or last
             continue
-        n, value = (3 + r.read(2), last) if x == 16 else (3 + r.read(3), 0) if x == 17 else (11 + r.read(7), 0)
-        lengths += [value] * n
+        extra = 2 if x == 16 else 3 if x == 17 else 7
+        lengths += [last if x == 16 else 0] * ((11 if x == 18 else 3) + (ahead & ((1 << extra) - 1)))
+        ahead >>= extra
+        used += extra
+    r.skip(used)
+    lengths += [0] * (alphabet - len(lengths))
     if len(lengths) > alphabet:
         raise ValueError("code lengths outside of the alphabet")
     return Code(np.array(lengths, np.int64))
@@ -315,6 +325,13 @@ def prefix_parts(symbols: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + 1).astype(np.int32), extra.astype(np.int32)
 
 
+@functools.lru_cache(64)
+def nearby(width: int) -> np.ndarray:
+    """The distances, in pixels, of the first prefix values."""
+    return np.array([max(1, dx + dy * width) for dx, dy in DISTANCES], np.int64)
+
+
+EIGHT = np.arange(8)
 LEAST, EXTRA = prefix_parts(DISTANCE_SYMBOLS)
 
 
@@ -336,35 +353,34 @@ def read_green(r: Reader, width: int, height: int, code: list[Code]) -> np.ndarr
     ends = np.zeros(len(data) + 3, np.uint32)
     ends[: len(data)] = data
     wide = ends[:-3] | ends[1:-2] << np.uint32(8) | ends[2:-1] << np.uint32(16) | ends[3:] << np.uint32(24)
-    at_bit = (wide[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # 25 bits from each position on
-    found = green.table[at_bit & np.uint32((1 << green.bits) - 1)]
+    at_bit = (wide.astype(np.int64)[:, None] >> EIGHT).ravel()  # 25 bits from each position on
+    found = green.table.take(at_bit & ((1 << green.bits) - 1))
     bits = len(found)
-    size, symbol = found & 15, found >> 4
-    copies = np.flatnonzero(symbol > 255).astype(np.int32)
-    here = np.arange(bits, dtype=np.int32)
-    step = np.empty(bits + 1, np.int32)
-    step[:-1] = here + size
+    copies = np.flatnonzero(found > 255 << 4 | 15)
+    step = np.arange(bits + 1)
+    step[:-1] += found & 15
     if len(copies):
         distance = code[4]
-        behind = np.minimum(step[copies] + EXTRA[symbol[copies] - 256], bits - 1)
-        far = distance.table[at_bit[behind] & np.uint32((1 << distance.bits) - 1)]
+        behind = np.minimum(step[copies] + EXTRA[(found[copies] >> 4) - 256], bits - 1)
+        far = distance.table.take(at_bit[behind] & ((1 << distance.bits) - 1))
         step[copies] = behind + (far & 15) + EXTRA[far >> 4]
     np.minimum(step[:-1], bits, out=step[:-1])
     step[-1] = bits
     steps = [step]
     for _ in range(3):
-        steps.append(steps[-1][steps[-1]])
+        steps.append(steps[-1].take(steps[-1]))
     at, starts, jump = r.at & 7, [], memoryview(steps[3])
     for _ in range(-(-total // 8)):
         if at >= bits:
             break
         starts.append(at)
         at = jump[at]
-    where = np.array(starts, np.int32)
+    where = np.array(starts, np.int64)
     for s in (steps[2], steps[1], steps[0]):
-        where = np.stack((where, s[where]), axis=1).ravel()
+        where = np.stack((where, s.take(where)), axis=1).ravel()
     where = where[where < bits]
-    token = symbol[where]
+    token = found.take(where)
+    size, token = token & 15, token >> 4
     if not len(copies):
         where, token = where[:total], token[:total]
         if len(where) < total or 8 * first + int(step[where[-1]]) > r.end:
@@ -373,7 +389,7 @@ def read_green(r: Reader, width: int, height: int, code: list[Code]) -> np.ndarr
         return token.astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
     copy = np.flatnonzero(token > 255)
     length = np.ones(len(token), np.int64)
-    own = where[copy] + size[where[copy]]
+    own = where[copy] + size[copy]
     extra = EXTRA[token[copy] - 256]
     length[copy] = LEAST[token[copy] - 256] + (at_bit[np.minimum(own, bits - 1)] & ((1 << extra.astype(np.int64)) - 1))
     after = np.cumsum(length)
@@ -385,24 +401,23 @@ def read_green(r: Reader, width: int, height: int, code: list[Code]) -> np.ndarr
     r.at = 8 * first + int(step[where[n - 1]])
     copy = copy[copy < n]
     behind = np.minimum(own[: len(copy)] + extra[: len(copy)], bits - 1)
-    far = code[4].table[at_bit[behind] & np.uint32((1 << code[4].bits) - 1)]
+    far = code[4].table.take(at_bit[behind] & ((1 << code[4].bits) - 1))
     more = EXTRA[far >> 4].astype(np.int64)
     rest = np.minimum(behind + (far & 15), bits - 1)
     value = LEAST[far >> 4] + ((at_bit[rest]) & ((1 << more) - 1))
-    near = np.array([max(1, dx + dy * width) for dx, dy in DISTANCES], np.int64)
-    value = np.where(value > len(DISTANCES), value - len(DISTANCES), near[np.minimum(value, len(DISTANCES)) - 1])
+    value = np.where(value > len(DISTANCES), value - len(DISTANCES), nearby(width)[np.minimum(value, len(DISTANCES)) - 1])
     back = np.zeros(n, np.int64)
     back[copy] = value
     owner = np.repeat(np.arange(n), length[:n])
-    source = np.arange(total) - back[owner]
+    source = np.arange(total) - back.take(owner)
     if source.min() < 0 or (back[copy] > after[copy] - length[copy]).any():
         raise ValueError("back-reference outside of the image")
     while True:
-        further = source[source]
+        further = source.take(source)
         if (further == source).all():
             break
         source = further
-    return token[owner[source]].astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
+    return token.take(owner.take(source)).astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
 
 
 def channels(pixels: np.ndarray) -> np.ndarray:
@@ -602,11 +617,14 @@ def repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
     """[(start, length, distance)] of repeats of at least GRAM bytes, from left to right, without overlap."""
     if len(x) <= GRAM:
         return []
-    wide = np.zeros(len(x) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        wide |= x[i : len(wide) + i].astype(np.uint64) << np.uint64(8 * i)
-    order = np.argsort(wide, kind="stable")
-    same = np.flatnonzero(wide[order[1:]] == wide[order[:-1]])
+    wide = np.ndarray(len(x) - GRAM + 1, "<u8", x.tobytes(), strides=(1,))
+    # Hashes with their places behind them are sorted, which is faster than sorting places by the bytes themselves.
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    keys = (wide * np.uint64(0x9E3779B97F4A7C15)) & ~place | np.arange(len(wide), dtype=np.uint64)
+    keys.sort()
+    order = (keys & place).astype(np.int32)
+    same = np.flatnonzero((keys[1:] ^ keys[:-1]) <= place)
+    same = same[wide[order[same + 1]] == wide[order[same]]]
     if not len(same):
         return []
     distance = np.zeros(len(wide), np.int64)
@@ -707,6 +725,12 @@ def entropy(samples: np.ndarray) -> float:
     return float(-(share * np.log2(share)).sum())
 
 
+def unevenness(samples: np.ndarray) -> int:
+    """How often two samples picked at random are the same, in pairs: a quick sign of a smaller entropy."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    return int(counts @ counts)
+
+
 def encode_grey(samples: np.ndarray, width: int) -> bytes:
     """A VP8L stream of (n,) samples as red, green and blue alike, opaque; n is a multiple of ``width``."""
     height = len(samples) // width
@@ -729,12 +753,12 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
         w.put(0, 1)
         put_green(w, samples, 255)
         return w.bytes()
-    grid, plain, alpha = samples.reshape(height, width), entropy(samples), 255
+    grid, plain, alpha = samples.reshape(height, width), unevenness(samples), 255
     left = np.diff(grid, axis=1, prepend=np.concatenate((np.zeros((1, 1), np.uint8), grid[:-1, :1])))
     top = np.diff(grid, axis=0, prepend=np.zeros((1, width), np.uint8))
     top[0] = left[0]
-    cost, mode, best = min((entropy(left), 1, left), (entropy(top), 2, top), key=lambda x: x[0])
-    if cost < plain:
+    found, mode, best = max((unevenness(left), 1, left), (unevenness(top), 2, top), key=lambda x: x[0])
+    if found > plain and entropy(best) < entropy(samples):
         # Where a predictor pays, it is the same in every block. The pixels are opaque, so its alpha residuals are zero.
         samples, alpha = best.ravel(), 0
         w.put(1, 1)
