@@ -1,58 +1,58 @@
 """The simulated rail: 64-bit FNV-1a of (seed, reference, dimension) as a number in [0, 1).
 
-The hash is a fold over bytes with built-in functions. Its state is kept as two 32-bit halves, because a
-product of 64-bit numbers would overflow under ANSI arithmetic. With the prime 2^40 + 0x1B3, the low
-half of a product is lo * 0x1B3, and the high half hi * 0x1B3 + lo * 2^8 plus the carry.
+A batch of references is hashed at once with arrays of unsigned 64-bit numbers, a byte of all of them at a time, in a
+vectorised function; only the references go to it, and all dimensions of a reference share its hash so far.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of 64-bit FNV-1a.
-OFFSET, PRIME_LOW, PRIME_SHIFT = 0xCBF29CE484222325, 0x1B3, 8
-HALF = 1 << 32
-
-
-def _folded(state: tuple[int, int], data: bytes) -> tuple[int, int]:
-    high, low = state
-    for byte in data:
-        low ^= byte
-        high, low = (high * PRIME_LOW + (low << PRIME_SHIFT) + (low * PRIME_LOW >> 32)) % HALF, low * PRIME_LOW % HALF
-    return high, low
+OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-def _step(s: Column, byte: Column) -> Column:
-    x = s["l"].bitwiseXOR(byte)
-    h = (s["h"] * PRIME_LOW + x * (1 << PRIME_SHIFT) + F.shiftright(x * PRIME_LOW, 32)) % HALF
-    return F.struct(h.alias("h"), ((x * PRIME_LOW) % HALF).alias("l"))
+def _hasher(seed: int, dimensions: tuple[str, ...]) -> Callable:
+    before = seed.to_bytes(8, "little", signed=True)
+    offset, prime = OFFSET, PRIME
 
+    def hashed(references):
+        import numpy as np
+        import pandas as pd
 
-def reference_state(seed: int, reference: Column) -> Column:
-    """The hash's state after the seed and the reference, which all dimensions of a reference share."""
-    high, low = _folded((OFFSET >> 32, OFFSET % HALF), seed.to_bytes(8, "little", signed=True))
-    text = F.hex(reference.cast("binary"))
-    places = F.filter(F.sequence(F.lit(1), F.length(text) + 1, F.lit(2)), lambda i: i < F.length(text))
-    start = F.struct(F.lit(high).cast("long").alias("h"), F.lit(low).cast("long").alias("l"))
-    return F.aggregate(places, start, lambda s, i: _step(s, _byte(text, i)))
+        raw = [r.encode() if isinstance(r, str) else b"" for r in references]
+        width = max(map(len, raw), default=0)
+        data = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(len(raw), width).astype(np.uint64)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        state = np.full(len(raw), offset, np.uint64)
+        for byte in before:
+            state = (state ^ np.uint64(byte)) * np.uint64(prime)
+        for i in range(width):
+            state = np.where(i < size, (state ^ data[:, i]) * np.uint64(prime), state)
+        out = []
+        for name in dimensions:
+            own = state
+            for byte in b"\0" + name.encode():
+                own = (own ^ np.uint64(byte)) * np.uint64(prime)
+            # In two halves, each exact in a double, so the sum is rounded once.
+            out.append(((own >> np.uint64(32)).astype(np.float64) * 4294967296.0 + (own & np.uint64(0xFFFFFFFF)).astype(np.float64)) / 18446744073709551616.0)
+        drawn = np.stack(out, axis=1)
+        return pd.Series([None if r is None else x for r, x in zip(references, drawn.tolist(), strict=True)])
 
+    return hashed
 
-def _byte(text: Column, i: Column) -> Column:
-    """The byte of two upper-case hexadecimal digits."""
-    digit = lambda at: F.position(F.substring(text, at, F.lit(1)), F.lit("0123456789ABCDEF")) - 1
-    return (digit(i) * 16 + digit(i + 1)).cast("long")
 
-
-def drawn(state: Column, dimension: str) -> Column:
-    """The number in [0, 1) of a dimension, from the reference's state. The dimension's bytes are constants."""
-    data = F.array(*[F.lit(x).cast("long") for x in b"\0" + dimension.encode()])
-    return F.aggregate(data, state, _step, lambda s: (s["h"].cast("double") * float(HALF) + s["l"].cast("double")) / 18446744073709551616.0)
+def draws(seed: int, reference: Column, *dimensions: str) -> Column:
+    """The numbers in [0, 1) of the dimensions, as an array; null for a null reference. The same in any order of evaluation."""
+    return F.pandas_udf(_hasher(seed, dimensions), "array<double>")(reference)
 
 
 def u01(seed: int, reference: Column, dimension: str) -> Column:
-    """The same number for the same seed, reference and dimension, in any order of evaluation."""
-    return drawn(reference_state(seed, reference), dimension)
+    """The number of one dimension."""
+    return draws(seed, reference, dimension)[0]
 
 
 def fires(p: float, drawn: Column) -> Column:
@@ -65,13 +65,19 @@ class Chaos:
     def __init__(self, seed: int = 42, timeout: float = 0.25, decline: float = 0.30, duplicate: float = 0.50, tsq_timeout: float = 0.30):
         self.seed, self.timeout, self.decline, self.duplicate, self.tsq_timeout = seed, timeout, decline, duplicate, tsq_timeout
 
-    def sends(self, state: Column) -> dict[str, Column]:
-        """Whether each fault fires, by a reference's state."""
+    #: The rail's dimensions, in the order of the draws.
+    DIMENSIONS = ("send_timeout", "decline", "duplicate", "tsq_timeout")
+
+    def drawn(self, reference: Column) -> Column:
+        return draws(self.seed, reference, *self.DIMENSIONS)
+
+    def sends(self, drawn: Column) -> dict[str, Column]:
+        """Whether each fault fires, by a reference's draws."""
         return {
-            "send_timeout": fires(self.timeout, drawn(state, "send_timeout")),
-            "declined": fires(self.decline, drawn(state, "decline")),
-            "duplicate": fires(self.duplicate, drawn(state, "duplicate")),
-            "tsq_timeout": fires(self.tsq_timeout, drawn(state, "tsq_timeout")),
+            "send_timeout": fires(self.timeout, drawn[0]),
+            "declined": fires(self.decline, drawn[1]),
+            "duplicate": fires(self.duplicate, drawn[2]),
+            "tsq_timeout": fires(self.tsq_timeout, drawn[3]),
         }
 
 

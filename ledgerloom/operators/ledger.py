@@ -60,11 +60,13 @@ def unbalanced(entries: DataFrame, by_currency: bool = True) -> DataFrame:
     return parts.groupBy("transaction_id").agg(F.sum(F.abs("d")).alias("difference"))
 
 
-def posting_errors(entries: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+def posting_errors(entries: DataFrame, accounts: DataFrame | None = None, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
     """(transaction_id, error) of every posting; error is null for a valid one.
 
-    In this order: fewer than two entries, several currencies, an amount that is not positive, a
-    direction that is none, debits other than credits; then, with ``accounts``, an unknown account.
+    Fewer than two entries come first. Then entries are looked at in their order: the first whose currency is not
+    the first entry's, or whose amount is not positive, decides. Then a direction that is none, debits other than
+    credits, and, with ``accounts``, an unknown account. Entries are not gathered: a posting's rows are reduced by
+    currency first, then over its currencies.
     """
     signed = F.when(F.col("direction") == "debit", F.col("amount_minor")).when(F.col("direction") == "credit", -F.col("amount_minor")).otherwise(F.lit(0))
     rows = entries
@@ -72,18 +74,27 @@ def posting_errors(entries: DataFrame, accounts: DataFrame | None = None) -> Dat
     if accounts is not None:
         rows = rows.join(accounts.select(F.col("id").alias("_known")), F.col("account_id") == F.col("_known"), "left")
         unknown = F.bool_or(F.col("_known").isNull())
-    checks = rows.groupBy("transaction_id").agg(
+    at = F.struct(*order)
+    parts = rows.groupBy("transaction_id", "currency").agg(
         F.count(F.lit(1)).alias("n"),
-        (F.min("currency") != F.max("currency")).alias("mixed"),
-        F.min("amount_minor").alias("least"),
-        F.bool_and(F.col("direction").isin(*DIRECTIONS)).alias("directed"),
+        F.min(at).alias("begins"),
+        F.min(F.when(F.coalesce(F.col("amount_minor") <= 0, F.lit(True)), at)).alias("low"),
+        F.bool_and(F.coalesce(F.col("direction").isin(*DIRECTIONS), F.lit(False))).alias("directed"),
         F.sum(signed).alias("difference"),
         unknown.alias("unknown"),
     )
+    checks = parts.groupBy("transaction_id").agg(
+        F.sum("n").alias("n"),
+        F.get(F.sort_array(F.collect_list("begins")), F.lit(1)).alias("other"),  # where a second currency begins
+        F.min("low").alias("low"),
+        F.bool_and("directed").alias("directed"),
+        F.sum("difference").alias("difference"),
+        F.bool_or("unknown").alias("unknown"),
+    )
     error = (
         F.when(F.col("n") < 2, "too_few_entries")
-        .when(F.col("mixed"), "currency_mismatch")
-        .when(F.col("least") <= 0, "non_positive_amount")
+        .when(F.col("other").isNotNull() & F.coalesce(F.col("other") <= F.col("low"), F.lit(True)), "currency_mismatch")
+        .when(F.col("low").isNotNull(), "non_positive_amount")
         .when(~F.col("directed"), "invalid_direction")
         .when(F.col("difference") != 0, "unbalanced")
         .when(F.col("unknown"), "unknown_account")
@@ -111,13 +122,15 @@ def export(transactions: DataFrame, entries: DataFrame, accounts: DataFrame, sta
     """Canonical records of the transactions initiated in [start, end), in no order (see ``export_order``).
 
     The amount is the sum of the debits; destination is the first debited account and source the first
-    credited one, by (created_at, id). One join of entries and accounts, one aggregate, one join.
+    credited one, by (created_at, id). With a window, only its transactions' entries are joined with accounts and aggregated.
     """
     rows = transactions
     if start is not None:
         rows = rows.where(F.col("initiated_at") >= start)
     if end is not None:
         rows = rows.where(F.col("initiated_at") < end)
+    if start is not None or end is not None:
+        entries = entries.join(rows.select(F.col("id").alias("_wanted")), F.col("transaction_id") == F.col("_wanted"), "left_semi")
     coded = entries.join(accounts.select(F.col("id").alias("_account"), "code"), F.col("account_id") == F.col("_account"))
     at = F.struct("created_at", "id")
     debit, credit = F.col("direction") == "debit", F.col("direction") == "credit"
@@ -142,12 +155,21 @@ def journal_order(entries: DataFrame) -> DataFrame:
     return entries.orderBy("created_at", "id")
 
 
-def running_balances(accounts: DataFrame, entries: DataFrame) -> DataFrame:
-    """Each entry with its account's balance after it (an audit aid)."""
+def running_balances(accounts: DataFrame, entries: DataFrame, every: str = "day") -> DataFrame:
+    """Each entry with its account's balance after it (an audit aid).
+
+    Entries are summed inside periods, and the periods' sums, at most one row a period and account, are
+    summed up apart, so an account of a third of all entries is as many tasks' work as there are periods.
+    """
     rows = entries.join(accounts.select(F.col("id").alias("_account"), "type"), F.col("account_id") == F.col("_account"))
     debit, credit = F.when(F.col("direction") == "debit", F.col("amount_minor")).otherwise(F.lit(0)), F.when(F.col("direction") == "credit", F.col("amount_minor")).otherwise(F.lit(0))
-    upto = Window.partitionBy("account_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("id", "account_id", "created_at", F.sum(signed_balance(F.col("type"), debit, credit)).over(upto).alias("balance_minor"))
+    rows = rows.select("id", "account_id", "created_at", F.coalesce(F.date_trunc(every, "created_at"), F.lit("0001-01-01").cast("timestamp")).alias("_period"), signed_balance(F.col("type"), debit, credit).alias("_x"))
+    before = Window.partitionBy("account_id").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("account_id", "_period").agg(F.sum("_x").alias("_sum"))
+    opened = sums.select("account_id", "_period", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_opening"))
+    inside = Window.partitionBy("account_id", "_period").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.withColumn("_inside", F.sum("_x").over(inside)).join(opened, ["account_id", "_period"])
+    return upto.select("id", "account_id", "created_at", (F.col("_opening") + F.col("_inside")).alias("balance_minor"))
 
 
 def conservation(accounts: DataFrame, entries: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.rail import Chaos, query_verdict, reference_state, send_verdict, terminal
+from ledgerloom.functions.rail import Chaos, query_verdict, send_verdict, terminal
 from ledgerloom.functions.text import leg_key
 from ledgerloom.schemas import EDGES, EVENT_FOR_STATUS, STATE_OF_STATUS, STATUS_OF_STATE, TERMINAL
+from ledgerloom.ship import ship
 
 SETTLEMENT = "SETTLEMENT"
 
@@ -54,8 +55,9 @@ def fold_events(events: DataFrame, key: str = "key", order: tuple[str, ...] = ("
 
 def rail_outcomes(transfers: DataFrame, chaos: Chaos, reference: str = "reference") -> DataFrame:
     """``transfers`` with the rail's faults, the verdicts of sending and asking, and the terminal status. No shuffle."""
-    rows = transfers.withColumn("_state", reference_state(chaos.seed, F.col(reference)))
-    rows = rows.withColumns(chaos.sends(F.col("_state"))).drop("_state")
+    ship(transfers.sparkSession)
+    rows = transfers.withColumn("_drawn", chaos.drawn(F.col(reference)))
+    rows = rows.withColumns(chaos.sends(F.col("_drawn"))).drop("_drawn")
     return rows.withColumns(
         {
             "send_verdict": send_verdict(F.col("send_timeout"), F.col("declined")),
@@ -83,6 +85,52 @@ def driven(transfers: DataFrame, funded: Column | None = None) -> DataFrame:
     return transfers.withColumn("status", folded(steps)).withColumn("state", state_of_status(F.col("status")))
 
 
+def queried(verdicts: Column, attempts: int = 3) -> Column:
+    """The verdict of asking the rail at most ``attempts`` times: the first that decides; unknown if none does."""
+    asked = F.filter(F.slice(verdicts, 1, attempts), lambda v: v.isin("success", "declined"))
+    return F.coalesce(F.get(asked, F.lit(0)), F.lit("unknown"))
+
+
+def resolved(transfers: DataFrame, verdicts: Column, attempts: int = 3) -> DataFrame:
+    """Transfers in doubt after asking: settled, waiting for their reversal, or held for a person. Others are as they were."""
+    verdict = queried(verdicts, attempts)
+    target = F.when(verdict == "success", "settled").when(verdict == "declined", "reversal_pending").otherwise("manual_review")
+    return transfers.withColumn("status", F.when(F.col("status") == "in_doubt", target).otherwise(F.col("status")))
+
+
+def advanced(transfers: DataFrame, to: Column, at: Column) -> DataFrame:
+    """``transfers`` with status, settled_at and event after a step: a step without a legal edge changes nothing.
+
+    A settled transfer gets its settled_at; a step to a status that has more to do emits its event for the outbox.
+    """
+    rows = transfers.withColumn("_to", to).withColumn("_moves", F.coalesce(legal(F.col("status"), F.col("_to")), F.lit(False)))
+    before = F.col("settled_at") if "settled_at" in transfers.columns else F.lit(None).cast("timestamp")
+    rows = rows.withColumn("settled_at", F.when(F.col("_moves") & (F.col("_to") == "settled"), at).otherwise(before))
+    rows = rows.withColumn("event", F.when(F.col("_moves"), event_for_status(F.col("_to"))))
+    return rows.withColumn("status", F.when(F.col("_moves"), F.col("_to")).otherwise(F.col("status"))).drop("_to", "_moves")
+
+
+def dispatched(transfers: DataFrame, events: DataFrame, funded: Column, send: Column, ask: Column) -> DataFrame:
+    """(id, event_type, status): what each event (aggregate_id, event_type) does to its transfer.
+
+    A handler acts only from the status its event is for, so a late or repeated event changes nothing; an event that no
+    handler knows raises.
+    """
+    rows = events.join(transfers, F.col("aggregate_id") == F.col("id").cast("string"))
+    of = lambda v: F.when(v == "success", "settled").when(v == "declined", "reversal_pending")
+    steps = {
+        "debit_requested": F.when(funded, "debited").otherwise("failed"),
+        "debited": F.coalesce(of(send), F.lit("in_doubt")),
+        "in_doubt": F.coalesce(of(ask), F.lit("manual_review")),
+        "reversal_requested": F.lit("reversed"),
+    }
+    status = F.when(F.col("event_type").isNull(), F.col("status"))
+    for wanted, event in EVENT_FOR_STATUS.items():
+        status = status.when(F.col("event_type") == event, F.when(F.col("status") == wanted, steps[event]).otherwise(F.col("status")))
+    failed = F.raise_error(F.concat(F.lit("no handler for event "), F.col("event_type"))).cast("string")
+    return rows.select("id", "event_type", status.otherwise(failed).alias("status"))
+
+
 def callback_target(verdict: Column) -> Column:
     """The step a rail's callback asks for; none for a callback that decides nothing."""
     return F.when(verdict == "success", "settled").when(verdict == "declined", "reversal_pending")

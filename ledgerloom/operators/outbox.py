@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,42 @@ def due(outbox: DataFrame, as_of: Column, n: int = BATCH) -> DataFrame:
     return ready.orderBy("created_at", "id").limit(n)
 
 
+def claimed(outbox: DataFrame, as_of: Column, n: int = BATCH, lease: float = LEASE_SECONDS) -> DataFrame:
+    """The outbox after a claim: the next ``n`` due events are hidden until their lease ends. Only ids are ranked, as a top-k."""
+    until = F.timestamp_micros((F.unix_micros(as_of) + F.lit(round(lease * 1_000_000))).cast("long"))
+    taken = F.broadcast(due(outbox, as_of, n).select("id").withColumn("_taken", F.lit(True)))
+    rows = outbox.join(taken, "id", "left")
+    return rows.withColumn("next_attempt_at", F.when(F.col("_taken"), until).otherwise(F.col("next_attempt_at"))).select(*outbox.columns)
+
+
+def drained(outbox: DataFrame, handler: Callable[[DataFrame], DataFrame], path: str, as_of: Column, base: float, most: float = MAX_BACKOFF_SECONDS, attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """The outbox when nothing is left to deliver: each event is tried until it succeeds or has had ``attempts`` failures.
+
+    ``handler`` takes waiting events and returns (id, ok). A round tries every waiting event once, at the time it is next
+    due, and is a table below ``path``; there are at most ``attempts`` rounds, whatever the number of events.
+    """
+    spark = outbox.sparkSession
+    left, done = outbox, []
+    for i in range(attempts + 1):
+        at = F.greatest(as_of, F.coalesce(F.col("next_attempt_at"), as_of))
+        ready = waiting(left)
+        tried = delivered(ready, handler(ready), at, base, most, attempts)
+        done.append(left.where("published or dead_letter").select(*outbox.columns))
+        tried.select(*outbox.columns).write.mode("overwrite").parquet(f"{path}/round-{i}")
+        left = spark.read.schema(outbox.schema).parquet(f"{path}/round-{i}")
+        if waiting(left).isEmpty():
+            break
+    done.append(left)
+    return reduce(DataFrame.unionByName, done)
+
+
+def lag_samples(outbox: DataFrame, times: DataFrame, at: str = "at") -> DataFrame:
+    """(at, lag_seconds): at each time, the age of the oldest event created by then that still waits; 0 without one."""
+    oldest = waiting(outbox).agg(F.min("created_at").alias("_oldest"))
+    age = (F.unix_micros(at) - F.unix_micros("_oldest")) / F.lit(1_000_000.0)
+    return times.join(F.broadcast(oldest)).select(at, F.greatest(F.coalesce(age, F.lit(0.0)), F.lit(0.0)).alias("lag_seconds"))
+
+
 def lag_seconds(outbox: DataFrame, as_of: Column) -> DataFrame:
     """The age of the oldest waiting event; 0 without one."""
     oldest = waiting(outbox).agg(F.min("created_at").alias("oldest"))

@@ -83,11 +83,15 @@ def classify(internal: DataFrame, external: DataFrame, window_seconds: float = 1
         reason.alias("reason"),
         F.coalesce(F.col("e.seq"), F.col("i.seq")).alias("order_seq"),
     )
-    repeats = ranked.where("n > 1").select(
-        F.lit("duplicate").alias("category"), "reference", F.lit(None).cast(out.schema["internal"].dataType).alias("internal"), e.alias("external"),
+    return out.unionByName(repeats(ranked.where("n > 1").select(*external.columns), out))
+
+
+def repeats(external: DataFrame, like: DataFrame) -> DataFrame:
+    """External rows as duplicates, in the columns of the outcomes ``like``."""
+    return external.select(
+        F.lit("duplicate").alias("category"), "reference", F.lit(None).cast(like.schema["internal"].dataType).alias("internal"), F.struct(*[F.col(c) for c in external.columns]).alias("external"),
         F.lit(None).cast("long").alias("delta_minor"), F.lit(None).cast("string").alias("reason"), F.col("seq").alias("order_seq"),
     )
-    return out.unionByName(repeats)
 
 
 def exceptions(classified: DataFrame) -> DataFrame:

@@ -30,8 +30,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerloom")
+    """A new path in the folder all executors share; only in local mode may none be named, then it is a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "ledgerloom")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -225,10 +229,11 @@ def running_balance(spark, d):
     return ledger.running_balances(D.accounts(spark, d), D.entries(spark, d)).drop("created_at")
 
 
-@query(f"""SELECT transaction_id, CASE WHEN n < 2 THEN 'too_few_entries' WHEN mixed THEN 'currency_mismatch' WHEN least <= 0 THEN 'non_positive_amount' WHEN NOT directed THEN 'invalid_direction' WHEN x <> 0 THEN 'unbalanced' WHEN gone THEN 'unknown_account' END AS error
-FROM (SELECT transaction_id, count(*) AS n, min(currency) <> max(currency) AS mixed, min(amount_minor) AS least, bool_and(direction IN ('debit', 'credit')) AS directed,
+@query(f"""WITH e AS (SELECT *, row_number() OVER o AS rn, first_value(currency) OVER o AS head FROM {S.entries(True)} WINDOW o AS (PARTITION BY transaction_id ORDER BY tus, id))
+SELECT transaction_id, CASE WHEN n < 2 THEN 'too_few_entries' WHEN mixed <= coalesce(low, mixed) THEN 'currency_mismatch' WHEN low IS NOT NULL THEN 'non_positive_amount' WHEN NOT directed THEN 'invalid_direction' WHEN x <> 0 THEN 'unbalanced' WHEN gone THEN 'unknown_account' END AS error
+FROM (SELECT transaction_id, count(*) AS n, min(rn) FILTER (currency <> head) AS mixed, min(rn) FILTER (amount_minor <= 0) AS low, bool_and(direction IN ('debit', 'credit')) AS directed,
   sum(CASE direction WHEN 'debit' THEN amount_minor WHEN 'credit' THEN -amount_minor ELSE 0 END) AS x, bool_or(a IS NULL) AS gone
-  FROM {S.entries(True)} LEFT JOIN (SELECT id AS a FROM {S.ACCOUNTS} WHERE id <> 'SUPP-3') ON account_id = a GROUP BY transaction_id)""")
+  FROM e LEFT JOIN (SELECT id AS a FROM {S.ACCOUNTS} WHERE id <> 'SUPP-3') ON account_id = a GROUP BY transaction_id)""")
 def posting_validation(spark, d):
     return ledger.posting_errors(D.entries(spark, d, broken=True), D.accounts(spark, d).where("id <> 'SUPP-3'"))
 
@@ -266,7 +271,8 @@ def fk_violations(spark, d):
 
 @query(f"""SELECT 'transactions' AS relation, id, 'type' AS violation FROM {S.TRANSACTIONS} WHERE type NOT IN ('transfer', 'reversal', 'fee')
 UNION ALL SELECT 'transactions', id, 'status' FROM {S.TRANSACTIONS} WHERE status = 'odd'
-UNION ALL SELECT 'entries', id, 'direction' FROM {S.entries(True)} WHERE direction = 'sideways'""")
+UNION ALL SELECT 'entries', id, 'direction' FROM {S.entries(True)} WHERE direction = 'sideways'
+UNION ALL SELECT 'entries', id, 'amount' FROM {S.entries(True)} WHERE amount_minor <= 0""")
 def domain_violations(spark, d):
     return audit.domain_violations(D.accounts(spark, d), D.transactions(spark, d), D.entries(spark, d, broken=True))
 
@@ -469,7 +475,7 @@ def reserved_keys(spark, d):
 
 
 _STORED = f"""(SELECT key, fingerprint AS f, ['in_progress', 'succeeded', 'failed'][CAST(event_id % 3 + 1 AS INTEGER)] AS s, tus + 30000000 AS e, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) END AS t,
-  CASE WHEN event_id % 5 = 0 THEN 'T' || event_id END AS own FROM {S.EVENTS} WHERE event_id % 4 <> 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts, event_id) = 1)"""
+  CASE WHEN event_id % 5 = 0 AND event_id % 15 <> 0 THEN 'T' || event_id END AS own FROM {S.EVENTS} WHERE event_id % 4 <> 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts, event_id) = 1)"""
 _LEASE = f"{S.AS_OF} - 241 * 3600000000"
 
 
@@ -481,7 +487,7 @@ def lease_takeover(spark, d):
     first = requests.first_wins(e.where("event_id % 4 <> 3"))
     status = F.element_at(F.array(F.lit("in_progress"), F.lit("succeeded"), F.lit("failed")), (F.col("event_id") % 3 + 1).cast("int"))
     keys = first.select("key", F.col("fingerprint").alias("request_fingerprint"), status.alias("status"), F.timestamp_micros(us("ts") + 30_000_000).alias("expires_at"), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).alias("transaction_id"))
-    own = first.where("event_id % 5 = 0").select(F.col("key").alias("idempotency_key"), F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("id"))
+    own = first.where("event_id % 5 = 0").select(F.col("key").alias("idempotency_key"), F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("id"), F.create_map(F.when(F.col("event_id") % 15 == 0, "other").otherwise("source"), F.lit("A")).alias("metadata"))
     return requests.lease_outcomes(e, keys, own, D.as_of(spark, d, 1 - 241)).select("event_id", "outcome", "transaction_id")
 
 
@@ -628,14 +634,14 @@ def seeded_accounts(spark, d):
 def streaming_fold(spark, d):
     from ledgerloom.streaming.machine import fold_stream
 
-    return fold_stream(spark, f"{d}/events.parquet", shared_path(spark, "stream"))
+    return fold_stream(spark, f"{d}/events.parquet", shared_path(spark, "stream"), D.as_events)
 
 
 @query(f"SELECT event_type, count(*) AS n FROM {S.OUTBOX} WHERE NOT published AND NOT dead_letter AND id % 2 = 0 GROUP BY event_type")
 def streaming_outbox(spark, d):
     from ledgerloom.streaming.delivery import deliver_stream
 
-    out = deliver_stream(spark, f"{d}/events.parquet", shared_path(spark, "outbox"))
+    out = deliver_stream(spark, f"{d}/events.parquet", shared_path(spark, "outbox"), prepare=D.as_outbox)
     return out.where("published").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -643,4 +649,7 @@ def streaming_outbox(spark, d):
 def streaming_rates(spark, d):
     from ledgerloom.streaming.metrics import rate_stream
 
-    return rate_stream(spark, f"{d}/events.parquet", shared_path(spark, "rates")).select(us("start").alias("start_us"), "event_type", "n")
+    return rate_stream(spark, f"{d}/events.parquet", shared_path(spark, "rates"), prepare=D.as_events).select(us("start").alias("start_us"), "event_type", "n")
+
+
+from ledgerloom.plans import online  # noqa: E402, F401  (more queries, registered in QUERIES)

@@ -46,11 +46,13 @@ ACCOUNTS = """(SELECT 'CUST-' || c_custkey AS id, 'asset' AS type FROM customer
 
 def entries(broken: bool = False) -> str:
     amount = AMOUNT.format("l_extendedprice")
+    zero = "l_orderkey % 445 = 0" if broken else "false"
+    own = f"CASE WHEN l_orderkey % 79 = 0 THEN 0 ELSE {amount} END" if broken else amount
     extra, currency, direction = ("CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END", "CASE WHEN l_orderkey % 89 = 0 THEN 'USD' ELSE 'NGN' END", "CASE WHEN l_orderkey % 83 = 0 THEN 'sideways' ELSE 'credit' END") if broken else ("0", "'NGN'", "'credit'")
     key = f"l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || {AMOUNT.format('l_quantity')} || '-' || {amount}"
     return f"""(SELECT {key} || '-debit' AS id, CAST(l_orderkey AS VARCHAR) AS transaction_id, 'CUST-' || o_custkey AS account_id, 'debit' AS direction,
-    {amount} AS amount_minor, 'NGN' AS currency, epoch_us(l_shipdate) AS tus FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  UNION ALL SELECT {key} || '-' || {direction}, CAST(l_orderkey AS VARCHAR), 'SUPP-' || l_suppkey, {direction}, {amount} + {extra}, {currency}, epoch_us(l_shipdate)
+    {own} AS amount_minor, 'NGN' AS currency, epoch_us(l_shipdate) AS tus FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT {key} || '-' || {direction}, CAST(l_orderkey AS VARCHAR), 'SUPP-' || l_suppkey, {direction}, CASE WHEN {zero} THEN 0 ELSE {amount} + {extra} END, {currency}, epoch_us(l_shipdate)
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 

@@ -76,20 +76,20 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
-    """Two entries a line: debit the customer, credit the supplier. ``broken`` lines differ in amount, currency, direction or sign."""
+    """Two entries a line: debit the customer, credit the supplier. ``broken`` lines differ in amount, currency, direction or sign, some in two of them."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.col("l_orderkey")
     amount = minor(F.col("l_extendedprice"))
-    other, foreign = (k % 97 == 0, k % 89 == 0) if broken else (F.lit(False), F.lit(False))
+    other, foreign, none = (k % 97 == 0, k % 89 == 0, k % 79 == 0) if broken else (F.lit(False), F.lit(False), F.lit(False))
     each = F.explode(
         F.array(
-            F.struct(F.lit("debit").alias("direction"), F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")).alias("account_id"), amount.alias("amount_minor"), F.lit("NGN").alias("currency")),
+            F.struct(F.lit("debit").alias("direction"), F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")).alias("account_id"), F.when(none, 0).otherwise(amount).alias("amount_minor"), F.lit("NGN").alias("currency")),
             F.struct(
                 F.when(k % 83 == 0, "sideways").otherwise("credit").alias("direction") if broken else F.lit("credit").alias("direction"),
                 F.concat(F.lit("SUPP-"), F.col("l_suppkey").cast("string")).alias("account_id"),
-                (amount + F.when(other, 1).otherwise(0)).alias("amount_minor"),
+                F.when(k % 445 == 0, 0).otherwise(amount + F.when(other, 1).otherwise(0)).alias("amount_minor") if broken else amount.alias("amount_minor"),
                 F.when(foreign, "USD").otherwise("NGN").alias("currency"),
             ),
         )

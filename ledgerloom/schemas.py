@@ -58,5 +58,5 @@ TRANSACTIONS = _schema(
 )
 ENTRIES = _schema(("id", _S, False), ("transaction_id", _S, False), ("account_id", _S, False), ("direction", _S, False), ("amount_minor", _L, False), ("currency", _S, False), ("created_at", _TS, True))
 OUTBOX = _schema(("id", _L, False), ("aggregate_id", _S, False), ("event_type", _S, False), ("payload", _S, True), ("created_at", _TS, False), ("published", _B, False), ("attempts", _I, False), ("next_attempt_at", _TS, True), ("dead_letter", _B, False))
-RUNS = _schema(("run_id", _S, False), ("internal_source", _S, True), ("external_source", _S, True), ("status", _S, False), ("matched_count", _L, True), ("exception_count", _L, True), ("summary", _S, True), ("params_hash", _S, True))
+RUNS = _schema(("run_id", _S, False), ("internal_source", _S, True), ("external_source", _S, True), ("status", _S, False), ("matched_count", _L, True), ("exception_count", _L, True), ("summary", _S, True), ("params_hash", _S, True), ("started_at", _TS, True))
 EXCEPTIONS = _schema(("run_id", _S, False), ("category", _S, False), ("reference", _S, True), ("internal_record", _S, True), ("external_record", _S, True), ("delta_minor", _L, True))

@@ -32,11 +32,23 @@ def _checked(value: Column, good: Column, message: str, line: Column) -> Column:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``seq`` by partition and position, without a shuffle or a count: a file's splits and lines are in order.
+    """``seq`` in the order of the files' names and of the lines in a file, without a shuffle or a count.
 
-    Of several files in a folder, Spark reads the larger ones first; where their order counts, keep one file, or a ``seq`` column.
+    ``rows`` is the reader's own DataFrame. A file's splits are read in order, so partition and position order its lines; of several files
+    Spark reads the larger ones first, so a file's place among the sorted names goes in front.
     """
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    files = sorted(rows.inputFiles())
+    position = F.monotonically_increasing_id()
+    if len(files) < 2:
+        return rows.withColumn("seq", position)
+    parts = rows.select(F.lit(1)).rdd.getNumPartitions()
+    left = 63 - (len(files) - 1).bit_length() - (parts - 1).bit_length()
+    if left < 28:
+        raise ValueError(f"{len(files)} files in {parts} partitions leave no room for the order of lines")
+    names = rows.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _name string")
+    placed = rows.withColumn("_name", F.input_file_name()).withColumn("_at", position).join(F.broadcast(names), "_name")
+    within = F.shiftleft(F.shiftright("_at", 33), left).bitwiseOR(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return placed.withColumn("seq", F.shiftleft("_file", left + (parts - 1).bit_length()).bitwiseOR(within)).drop("_name", "_file", "_at")
 
 
 def check_header(header: list[str], wanted: list[str]) -> None:
@@ -129,9 +141,11 @@ def read_external(spark: SparkSession, path: str, format: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> str:
-    """SHA-256 over the files' bytes in order, each followed by a zero byte; any file system Spark reads.
+    """SHA-256 over the inputs' bytes in order, each followed by a zero byte; any file system Spark reads.
 
-    Files stream through the driver in pieces of a megabyte: a digest is sequential, its memory is constant.
+    A file streams through the driver in pieces of a megabyte: a digest is sequential, its memory is constant. A folder's
+    files are hashed by executors, and its bytes are their digests in the order of their names, so
+    its fingerprint is not that of one file with the same lines.
     """
     import hashlib
 
@@ -139,11 +153,17 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
-        stream = p.getFileSystem(conf).open(p)
-        try:
-            while piece := bytes(stream.readNBytes(1 << 20)):
-                h.update(piece)
-        finally:
-            stream.close()
+        fs = p.getFileSystem(conf)
+        if fs.getFileStatus(p).isDirectory():
+            files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest"))
+            for row in files.orderBy("path").toLocalIterator():
+                h.update(bytes.fromhex(row["digest"]))
+        else:
+            stream = fs.open(p)
+            try:
+                while piece := bytes(stream.readNBytes(1 << 20)):
+                    h.update(piece)
+            finally:
+                stream.close()
         h.update(b"\0")
     return h.hexdigest()

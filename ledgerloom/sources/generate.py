@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE_TIME, OFFSET_SECONDS = "2026-05-31 09:00:00", 30
+from ledgerloom.schemas import CATEGORIES
+
+BASE_TIME, LATER_SECONDS = "2031-02-03 04:00:00", 17
 #: (code, name, type) of the accounts every ledger starts with.
 SEED_ACCOUNTS = [("SETTLEMENT", "Settlement suspense", "liability"), ("FEES", "Fee income", "revenue"), ("CUST-001", "Customer 1", "asset"), ("CUST-002", "Customer 2", "asset")]
 
@@ -18,7 +20,7 @@ def seed_accounts(spark: SparkSession, existing: DataFrame) -> DataFrame:
 
 def fixture(spark: SparkSession, count: int, per_category: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(internal, external) records with ``per_category`` discrepancies of each kind and ``seq`` in shuffled order."""
-    kinds = [("TXN-%06d", "matched", count), ("AMIS-%04d", "amount_mismatch", per_category), ("UINT-%04d", "unmatched_internal", per_category), ("UEXT-%04d", "unmatched_external", per_category), ("DUP-%04d", "duplicate", per_category), ("PREV-%04d", "pending_reversal", per_category)]
+    kinds = [(f"{kind}/%d", kind, count if kind == "matched" else per_category) for kind in ("matched", *CATEGORIES)]
 
     def rows(pattern: str, kind: str, n: int) -> DataFrame:
         return spark.range(n).select(F.format_string(pattern, "id").alias("reference"), F.lit(kind).alias("kind"), F.col("id").alias("i"))
@@ -27,8 +29,8 @@ def fixture(spark: SparkSession, count: int, per_category: int, seed: int = 42)
     every = made[0]
     for more in made[1:]:
         every = every.unionByName(more)
-    amount = F.lit(100) + F.pmod(F.xxhash64("reference", F.lit(seed), F.lit("amount")), F.lit(999_900))
-    at = F.timestamp_seconds(F.unix_timestamp(F.lit(BASE_TIME)) + F.col("i") * 60)
+    amount = F.lit(1) + F.pmod(F.xxhash64("reference", F.lit(seed), F.lit("amount")), F.lit(5_000_000))
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit(BASE_TIME)) + F.col("i") * 41)
     every = every.withColumn("amount", amount).withColumn("at", at)
 
     def records(rows: DataFrame, amount: Column, status: Column, at: Column, copy: Column) -> DataFrame:
@@ -41,6 +43,6 @@ def fixture(spark: SparkSession, count: int, per_category: int, seed: int = 42)
 
     inside = records(every.where("kind <> 'unmatched_external'"), F.col("amount"), F.when(F.col("kind") == "pending_reversal", "failed").otherwise("settled"), F.col("at"), F.lit(0))
     out = every.where("kind not in ('unmatched_internal', 'pending_reversal')").withColumn("copy", F.explode(F.when(F.col("kind") == "duplicate", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    shown = F.col("amount") + F.when(F.col("kind") == "amount_mismatch", 100 * (F.col("i") + 1)).otherwise(F.lit(0))
-    later = F.timestamp_seconds(F.unix_timestamp("at") + F.when(F.col("kind") == "unmatched_external", 0).otherwise(OFFSET_SECONDS))
+    shown = F.col("amount") + F.when(F.col("kind") == "amount_mismatch", 7 * (F.col("i") + 3)).otherwise(F.lit(0))
+    later = F.timestamp_seconds(F.unix_timestamp("at") + F.when(F.col("kind") == "unmatched_external", 0).otherwise(LATER_SECONDS))
     return inside, records(out, shown, F.lit("settled"), later, F.col("copy"))

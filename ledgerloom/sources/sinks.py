@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -50,13 +51,60 @@ def _counts(classified: DataFrame) -> tuple[int, dict[str, int]]:
     return got.pop("matched", 0), dict(sorted(got.items()))
 
 
-def text_report(classified: DataFrame, internal_name: str, external_name: str) -> str:
-    """The report for people. It names no time, so the same input gives the same bytes. Lines come in order, a partition at a time."""
+def _head(classified: DataFrame, internal_name: str, external_name: str) -> list[str]:
+    """The text report's lines before its exceptions."""
     matched, by = _counts(classified)
+    # Fixed text of the report.
     out = ["Reconciliation report", f"  internal:   {internal_name}", f"  external:   {external_name}", f"  matched:    {matched}", f"  exceptions: {sum(by.values())}"]
-    if by:
-        out += ["  by category:", *[f"    {c:<20} {n}" for c, n in by.items()], "exceptions:"]
-        out += [r["line"] for r in in_report_order(report_lines(classified)).select("line").toLocalIterator()]
+    return out + (["  by category:", *[f"    {c:<20} {n}" for c, n in by.items()], "exceptions:"] if by else [])
+
+
+def write_text_report(classified: DataFrame, path: str, internal_name: str, external_name: str) -> None:
+    """The text report as a folder of text files, written by executors: in the order of the files' names it is ``text_report``."""
+    head = classified.sparkSession.createDataFrame(list(enumerate(_head(classified, internal_name, external_name))), "order_seq long, line string")
+    lines = report_lines(classified).select(F.lit(1).alias("part"), "category", "reference", "delta_minor", "order_seq", "line")
+    first = head.select(F.lit(0).alias("part"), F.lit("").alias("category"), F.lit("").alias("reference"), F.lit(None).cast("long").alias("delta_minor"), "order_seq", "line")
+    every = first.unionByName(lines).orderBy("part", "category", "reference", F.coalesce("delta_minor", F.lit(0)), "order_seq")
+    every.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_exceptions_json(classified: DataFrame, path: str) -> None:
+    """The exceptions in report order as JSON lines, written by executors; for lists that a driver should not hold."""
+    rows = in_report_order(exceptions(classified))
+    rows.select("category", "reference", record_json("internal").alias("internal"), record_json("external").alias("external"), "delta_minor", "reason").write.mode("overwrite").json(path)
+
+
+def write_export(records: DataFrame, path: str) -> None:
+    """Exported records in their order as JSON lines."""
+    records.orderBy("initiated_at", "transaction_id").write.mode("overwrite").json(path)
+
+
+def exported(records: DataFrame) -> Iterator[Row]:
+    """The same, one record at a time, a partition on the driver at once."""
+    yield from records.orderBy("initiated_at", "transaction_id").toLocalIterator()
+
+
+def append_requests(requests: DataFrame, path: str, fingerprint: str) -> int:
+    """Append corrective requests of an input, known by its fingerprint, and return how many are new.
+
+    They move money, so a request of the same input and reference is appended once, however often its run is repeated.
+    """
+    rows = requests.withColumn("input_fingerprint", F.lit(fingerprint))
+    known = _table(requests.sparkSession, path, rows.schema).where(F.col("input_fingerprint") == fingerprint).select("reference")
+    fresh = rows.join(known, "reference", "left_anti").select(*rows.columns).persist()
+    try:
+        n = fresh.count()
+        if n:
+            fresh.write.mode("append").parquet(path)
+    finally:
+        fresh.unpersist()
+    return n
+
+
+def text_report(classified: DataFrame, internal_name: str, external_name: str) -> str:
+    """The report for people, as one string (``write_text_report`` writes a large one). It names no time, so the same input gives the same bytes."""
+    out = _head(classified, internal_name, external_name)
+    out += [r["line"] for r in in_report_order(report_lines(classified)).select("line").toLocalIterator()]
     return "\n".join(out) + "\n"
 
 
@@ -103,11 +151,17 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def newest_completed(runs: DataFrame) -> DataFrame:
+    """(fingerprint, run_id) of the newest completed run of each input, by (started_at, run_id)."""
+    done = runs.where("status = 'completed'").withColumn("fingerprint", F.get_json_object("summary", "$.input_fingerprint"))
+    order = F.struct(F.coalesce("started_at", F.lit("0001-01-01").cast("timestamp")), "run_id")
+    return done.groupBy("fingerprint").agg(F.max_by("run_id", order).alias("run_id"))
+
+
 def completed_run(spark: SparkSession, root: str, fingerprint: str) -> str | None:
     """The newest completed run of the same input."""
-    runs = _table(spark, f"{root}/runs", RUNS).where("status = 'completed'")
-    hit = runs.where(F.get_json_object("summary", "$.input_fingerprint") == fingerprint).agg(F.max("run_id").alias("id")).first()
-    return hit["id"]
+    hit = newest_completed(_table(spark, f"{root}/runs", RUNS)).where(F.col("fingerprint") == fingerprint).first()
+    return hit["run_id"] if hit else None
 
 
 def persist(classified: DataFrame, root: str, internal_name: str, external_name: str, fingerprint: str, params_hash: str = "") -> tuple[str, bool]:
@@ -125,7 +179,7 @@ def persist(classified: DataFrame, root: str, internal_name: str, external_name:
     matched, by = _counts(classified)
     run = summary_json(classified, fingerprint).select(
         F.lit(run_id).alias("run_id"), F.lit(internal_name).alias("internal_source"), F.lit(external_name).alias("external_source"), F.lit("completed").alias("status"),
-        F.lit(matched).cast("long").alias("matched_count"), F.lit(sum(by.values())).cast("long").alias("exception_count"), "summary", F.lit(params_hash).alias("params_hash"),
+        F.lit(matched).cast("long").alias("matched_count"), F.lit(sum(by.values())).cast("long").alias("exception_count"), "summary", F.lit(params_hash).alias("params_hash"), F.current_timestamp().alias("started_at"),
     )
     run.coalesce(1).write.mode("append").parquet(f"{root}/runs")
     return run_id, True

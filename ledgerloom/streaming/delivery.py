@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import outbox
-from ledgerloom.plans import tables
 from ledgerloom.streaming.common import folders, run_available
 
 #: A handler takes due events and returns (id, ok). It must be idempotent: a batch may be delivered again.
@@ -25,11 +24,15 @@ def deliver_batch(events: DataFrame, handler: Handler, as_of, base: float = 0.5)
     return outbox.delivered(waiting, handler(waiting), as_of, base)
 
 
-def deliver_stream(spark: SparkSession, source: str, work: str, handler: Handler = even_ids) -> DataFrame:
-    """Drain ``source`` and return the attempted events; dead letters are also in ``<work>/dead``."""
+def deliver_stream(spark: SparkSession, source: str, work: str, handler: Handler = even_ids, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, base: float = 0.5) -> DataFrame:
+    """Drain ``source``, whose rows ``prepare`` turns into outbox rows, and return the events tried; dead letters are also in ``<work>/dead``.
+
+    A failed event is tried again, each time at the end of its backoff, until it succeeds or is dead (``outbox.drained``).
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = deliver_batch(tables.as_outbox(rows), handler, F.current_timestamp())
+        waiting = outbox.waiting(prepare(rows)).dropDuplicates(["id"])
+        done = outbox.drained(waiting, handler, f"{work}/rounds/{number}", F.current_timestamp(), base)
         done.write.mode("overwrite").parquet(f"{work}/attempted/{number}")
         spark.read.parquet(f"{work}/attempted/{number}").where("dead_letter").write.mode("overwrite").parquet(f"{work}/dead/{number}")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.lifecycle import legal
-from ledgerloom.plans import tables
 from ledgerloom.streaming.common import folders, run_available
 
 
@@ -23,13 +24,20 @@ def fold_batch(states: DataFrame | None, events: DataFrame) -> DataFrame:
     return joined.select("key", after.alias("status"), (F.col("n_events") + F.size(steps_or_none)).alias("n_events"))
 
 
-def fold_stream(spark: SparkSession, source: str, work: str) -> DataFrame:
-    """Drain ``source`` (Parquet files of events, in file order) and return (key, status)."""
+def fold_stream(spark: SparkSession, source: str, work: str, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Drain ``source`` (Parquet files, in file order, that ``prepare`` turns into events) and return (key, status).
+
+    A batch reads the latest states of its own keys and writes those alone; a key's last batch holds.
+    """
+
+    def latest(numbers: list[int]) -> DataFrame:
+        written = spark.read.parquet(*[f"{work}/state/{n}" for n in numbers])
+        return written.groupBy("key").agg(F.max_by("status", "batch").alias("status"), F.max_by("n_events", "batch").alias("n_events"))
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = [n for n in folders(spark, f"{work}/state") if n < number]
-        states = spark.read.parquet(f"{work}/state/{max(done)}") if done else None
-        fold_batch(states, tables.as_events(rows)).write.mode("overwrite").parquet(f"{work}/state/{number}")
+        done, events = [n for n in folders(spark, f"{work}/state") if n < number], prepare(rows)
+        states = latest(done).join(events.select("key").distinct(), "key", "left_semi") if done else None
+        fold_batch(states, events).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/state/{number}")
 
     run_available(spark, source, work, batch)
-    return spark.read.parquet(f"{work}/state/{max(folders(spark, f'{work}/state'))}").select("key", "status")
+    return latest(folders(spark, f"{work}/state")).select("key", "status")

@@ -68,3 +68,26 @@ def test_edges(spark):
         assert ok == (b in EDGES.get(a, ())) and end == (a in TERMINAL)
     assert sum(r[0] for r in got) == 9
     assert set(STATE_OF_STATUS) == set(names)
+
+
+def test_draws_of_nulls_and_batches(spark):
+    rows = spark.range(25_000).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("r"), F.col("id").cast("string"))).alias("r"))
+    got = rows.select("r", rail.draws(3, F.col("r"), "a", "b").alias("d")).collect()
+    for x in got[::997]:
+        want = None if x["r"] is None else [fnv((3).to_bytes(8, "little") + x["r"].encode() + b"\0" + n) / 2**64 for n in (b"a", b"b")]
+        assert x["d"] == want
+
+
+def test_verdicts_of_asking(spark):
+    said = [(["unknown", "success", "declined"],), (["unknown", None, "declined"],), (["unknown", "unknown", "unknown", "success"],), ([],)]
+    got = spark.createDataFrame(said, "v array<string>").select(lifecycle.queried(F.col("v"), 3)).collect()
+    assert [r[0] for r in got] == ["success", "declined", "unknown", "unknown"]
+
+
+def test_events_without_a_handler_raise(spark):
+    import pytest
+
+    t = spark.createDataFrame([(1, "pending")], "id long, status string")
+    e = spark.createDataFrame([("1", "nonsense")], "aggregate_id string, event_type string")
+    with pytest.raises(Exception, match="no handler"):
+        lifecycle.dispatched(t, e, F.lit(True), F.lit("success"), F.lit("success")).collect()

@@ -44,7 +44,10 @@ def test_posting_errors_come_in_order(spark):
         ("a", "who", "A9", "debit", 5, "NGN"), ("b", "who", "S", "credit", 5, "NGN"),
         ("c", "good", "A0", "debit", 5, "NGN"), ("d", "good", "S", "credit", 5, "NGN"),
     ]
+    # Entry by entry: what is wrong with the first bad entry counts, its currency before its amount.
+    rows += [("e", "low first", "A0", "debit", 0, "NGN"), ("f", "low first", "S", "credit", 5, "USD"), ("g", "both", "A0", "debit", 5, "NGN"), ("h", "both", "S", "credit", 0, "USD"), ("i", "back", "A0", "debit", 5, "NGN"), ("j", "back", "A0", "debit", 0, "NGN"), ("k", "back", "S", "credit", 5, "USD")]
     got = {r["transaction_id"]: r["error"] for r in ledger.posting_errors(entries(spark, rows), accounts(spark, 1)).collect()}
+    assert (got.pop("low first"), got.pop("both"), got.pop("back")) == ("non_positive_amount", "currency_mismatch", "non_positive_amount")
     assert got == {"one": "too_few_entries", "money": "currency_mismatch", "zero": "non_positive_amount", "way": "invalid_direction", "sum": "unbalanced", "who": "unknown_account", "good": None}
 
 

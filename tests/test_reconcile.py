@@ -8,7 +8,7 @@ from ledgerloom.operators import reconcile
 from ledgerloom.schemas import RECORD
 from ledgerloom.sources import adapters, generate, sinks
 
-AT = "2026-05-31 10:00:00"
+AT = "2031-07-09 12:00:00"
 
 
 def record(seq, ref, amount=5000, type="transfer", status="settled", currency="NGN", late=0):
@@ -29,17 +29,55 @@ def by_category(df):
 
 
 def test_one_of_each(spark):
-    inside = [record(1, "R1"), record(2, "R2"), record(3, "R3"), record(4, "R4", status="failed"), record(5, "R5", status="failed"), record(6, "R5", type="reversal")]
-    outside = [record(1, "R1"), record(2, "R2", 6000), record(3, "R6"), record(4, "R1")]
+    inside = [record(1, "same", 1234), record(2, "more", 777), record(3, "ours", 50), record(4, "owed", 901, status="timed_out"), record(5, "back", 42, status="failed"), record(6, "back", 42, type="reversal")]
+    outside = [record(1, "same", 1234), record(2, "more", 1000), record(3, "theirs", 8), record(4, "same", 1234)]
     got = reconcile.classify(side(spark, inside), side(spark, outside))
     assert by_category(got) == {"matched": 1, "amount_mismatch": 1, "unmatched_external": 1, "duplicate": 1, "pending_reversal": 1, "unmatched_internal": 2}
     lines = sinks.text_report(got, "in.jsonl", "out.csv")
-    assert lines.startswith("Reconciliation report\n  internal:   in.jsonl\n") and "  [amount_mismatch] ref=R2 internal=50.00 external=60.00 delta=+1000\n" in lines
-    assert "  [pending_reversal] ref=R4 amount=50.00 status=failed\n" in lines and "    unmatched_internal   2\n" in lines
+    assert lines.startswith("Reconciliation report\n  internal:   in.jsonl\n") and "  [amount_mismatch] ref=more internal=7.77 external=10.00 delta=+223\n" in lines
+    assert "  [pending_reversal] ref=owed amount=9.01 status=timed_out\n" in lines and "    unmatched_internal   2\n" in lines
     report = json.loads(sinks.json_report(got, "a", "b"))
     assert list(report["by_category"]) == sorted(report["by_category"]) and report["matched_count"] == 1 and len(report["exceptions"]) == 6
 
 
+def test_reports_written_by_executors(spark, tmp_path):
+    inside, outside = generate.fixture(spark, 30, 4, 5)
+    got = reconcile.classify(inside, outside, 120)
+    sinks.write_text_report(got.repartition(5), f"{tmp_path}/report", "a", "b")
+    parts = sorted((tmp_path / "report").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == sinks.text_report(got, "a", "b")
+    sinks.write_exceptions_json(got, f"{tmp_path}/exceptions")
+    assert spark.read.json(f"{tmp_path}/exceptions").count() == 20
+
+
+def test_newest_run_and_requests_once(spark, tmp_path):
+    from ledgerloom.schemas import RUNS
+
+    at = lambda h: __import__("datetime").datetime(2031, 1, 1, h)
+    runs = [("z", "i", "e", "completed", 1, 0, '{"input_fingerprint":"p"}', "", at(1)), ("a", "i", "e", "completed", 1, 0, '{"input_fingerprint":"p"}', "", at(2)), ("b", "i", "e", "failed", 1, 0, '{"input_fingerprint":"p"}', "", at(3))]
+    assert [tuple(r) for r in sinks.newest_completed(spark.createDataFrame(runs, RUNS)).collect()] == [("p", "a")]
+    asked = spark.createDataFrame([("r1", 5, "NGN", "reverse"), ("r2", 6, "NGN", "reverse")], "reference string, amount_minor long, currency string, action string")
+    path = f"{tmp_path}/asked"
+    assert [sinks.append_requests(asked.limit(n), path, f) for n, f in ((1, "p"), (2, "p"), (2, "p"), (2, "q"))] == [1, 1, 0, 2]
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_files_of_a_folder_are_read_by_name(spark, tmp_path):
+    head = "reference,amount_minor\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text(head + "R,1\n")
+    (tmp_path / "in/b.csv").write_text(head + "R,2\n" + "".join(f"X{i},3\n" for i in range(2000)))
+    (tmp_path / "in/c.csv").write_text(head + "R,4\n")
+    rows = adapters.read_external(spark, f"{tmp_path}/in", "csv")
+    ordered = [r["amount_minor"] for r in rows.where("reference = 'R'").orderBy("seq").collect()]
+    assert ordered == [1, 2, 4] and rows.select("seq").distinct().count() == 2003
+    assert [r["reference"] for r in rows.where("amount_minor = 3").orderBy("seq").limit(3).collect()] == ["X0", "X1", "X2"]
+    one = adapters.fingerprint(spark, f"{tmp_path}/in")
+    assert len(one) == 64 and one == adapters.fingerprint(spark, f"{tmp_path}/in")
+    (tmp_path / "in/c.csv").write_text(head + "R,5\n")
+    assert one != adapters.fingerprint(spark, f"{tmp_path}/in")
+
+
 def test_quirks(spark):
     # Last internal row counts; status is not compared; window and currency disagreements are mismatches of delta 0.
     inside = [record(1, "A", 1), record(2, "A", 2), record(3, "B", status="failed"), record(4, "C"), record(5, "D"), record(6, "E", type="fee"), record(7, "", 9)]
@@ -55,9 +93,8 @@ def test_every_planted_discrepancy_is_found(spark, count, per, seed):
     inside, outside = generate.fixture(spark, count, per, seed)
     got = reconcile.classify(inside, outside, 120)
     assert by_category(got) == {"matched": count + per, **{c: per for c in ("amount_mismatch", "duplicate", "pending_reversal", "unmatched_external", "unmatched_internal")}}
-    prefix = {"AMIS": "amount_mismatch", "UINT": "unmatched_internal", "UEXT": "unmatched_external", "DUP-": "duplicate", "PREV": "pending_reversal"}
     for r in reconcile.exceptions(got).collect():
-        assert prefix[r["reference"][:4]] == r["category"]
+        assert r["reference"].split("/")[0] == r["category"]
     reports = {sinks.json_report(reconcile.classify(inside.repartition(k), outside.repartition(7 - k), 120), "a", "b") for k in (1, 3, 5)}
     assert len(reports) == 1
 
@@ -137,6 +174,8 @@ def test_command_line(spark, tmp_path):
     assert json.loads(out.getvalue())["matched_count"] == 11 and "kept" in err.getvalue()
     run(arguments(args), io.StringIO(), err)
     assert "nothing written" in err.getvalue()
-    assert spark.read.parquet(f"{tmp_path}/asked").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/asked").count() == 1  # a repeated run asks for nothing again
+    run(arguments([*args, "--format", "text", "--report", f"{tmp_path}/report"]), out, err)
+    assert (tmp_path / "report/_SUCCESS").exists()
     with pytest.raises(SystemExit):
         arguments(["--internal", "x"])
