@@ -49,16 +49,37 @@ def external_ranked(external: DataFrame) -> DataFrame:
     return external.withColumn("n", F.row_number().over(Window.partitionBy("reference").orderBy("seq")))
 
 
+def blank_index(internal: DataFrame) -> DataFrame:
+    """``internal_index`` of rows with blank references: at most two rows, without a window."""
+    kept, row = F.col("type") != "reversal", F.struct(*[F.col(c) for c in internal.columns])
+    settled = F.max((F.col("type") == "reversal") & (F.col("status") == "settled"))
+    by = internal.groupBy("reference").agg(F.max_by(F.when(kept, row), F.when(kept, F.col("seq"))).alias("i"), F.coalesce(settled, F.lit(False)).alias("has_settled_reversal"))
+    return by.where("i is not null").select("reference", "i", "has_settled_reversal")
+
+
+def blank_ranked(external: DataFrame) -> DataFrame:
+    """External rows with blank references and ``n``: 1 for the first in the file's order, 2 for any other."""
+    first = external.groupBy(F.col("reference").alias("_r")).agg(F.min("seq").alias("_first"))  # at most two rows
+    rows = external.join(F.broadcast(first), F.col("reference").eqNullSafe(F.col("_r")))
+    return rows.withColumn("n", F.when(F.col("seq") == F.col("_first"), 1).otherwise(2)).drop("_r", "_first")
+
+
 def classify(internal: DataFrame, external: DataFrame, window_seconds: float = 120) -> DataFrame:
     """One row per outcome: category (``matched`` or an exception's), reference, internal, external, delta_minor, reason.
 
     Repeats of an external reference join the index at no cost of their own: they stay on their side of
-    a union after the window, and only first occurrences go into the outer join.
+    a union after the window, and only first occurrences go into the outer join. A null reference matches nothing.
     """
-    ranked = external_ranked(external)
-    e = F.struct(*[F.col(c) for c in external.columns])
+    blank = F.coalesce(F.col("reference"), F.lit("")) == ""
+    named = outcomes(internal_index(internal.where(~blank)), external_ranked(external.where(~blank)), external.columns, window_seconds)
+    return named.unionByName(outcomes(blank_index(internal.where(blank)), blank_ranked(external.where(blank)), external.columns, window_seconds))
+
+
+def outcomes(index: DataFrame, ranked: DataFrame, columns: list[str], window_seconds: float) -> DataFrame:
+    """The outcomes of an internal index and external rows (``columns``) with their occurrence ``n``."""
+    e = F.struct(*[F.col(c) for c in columns])
     first = ranked.where("n = 1").select(F.col("reference").alias("e_reference"), e.alias("e"))
-    index = internal_index(internal).withColumnRenamed("reference", "i_reference")
+    index = index.withColumnRenamed("reference", "i_reference")
     joined = index.join(first, F.col("i_reference") == F.col("e_reference"), "full_outer")
     missing_in, missing_ex = F.col("i").isNull(), F.col("e").isNull()
     same_currency = F.col("i.currency") == F.col("e.currency")
@@ -83,7 +104,7 @@ def classify(internal: DataFrame, external: DataFrame, window_seconds: float = 1
         reason.alias("reason"),
         F.coalesce(F.col("e.seq"), F.col("i.seq")).alias("order_seq"),
     )
-    return out.unionByName(repeats(ranked.where("n > 1").select(*external.columns), out))
+    return out.unionByName(repeats(ranked.where("n > 1").select(*columns), out))
 
 
 def repeats(external: DataFrame, like: DataFrame) -> DataFrame:

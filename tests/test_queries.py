@@ -35,5 +35,22 @@ def test_equals_sql(spark, duck, name):
     assert shown(tuple(r[c] for c in columns) for r in got) == shown(tuple(dict(zip(want.columns, r, strict=True))[c] for c in columns) for r in want.fetchall())
 
 
+#: Queries whose rows come in an order that their columns show.
+ORDERED = {
+    "export_window": "initiated_us, transaction_id",
+    "entries_by_account": "created_us, id",
+    "resumable_transfers": "initiated_us, id",
+    "recon_exceptions": "category, reference, coalesce(delta_minor, 0)",
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_rows_come_in_order(spark, duck, name):
+    query, sql = QUERIES[name]
+    want = duck.sql(f"select * from ({sql}) order by {ORDERED[name]}")
+    got = [tuple(r[c] for c in want.columns) for r in query(spark, DATA).collect()]
+    assert len(got) > 1 and got == want.fetchall()
+
+
 def test_every_query_has_sql():
     assert len(QUERIES) >= 70 and all(sql for _, sql in QUERIES.values())

@@ -40,6 +40,44 @@ def test_one_of_each(spark):
     assert list(report["by_category"]) == sorted(report["by_category"]) and report["matched_count"] == 1 and len(report["exceptions"]) == 6
 
 
+def plain(inside, outside):
+    """Category and amounts of each outcome, by a loop over rows in order."""
+    last, first, out = {}, {}, []
+    done = {r for _, r, _, type, status, *_ in inside if type == "reversal" and status == "settled"}
+    for row in inside:
+        if row[3] != "reversal":
+            last[row[1]] = row
+    for row in outside:
+        if row[1] in first:
+            out.append(("duplicate", row[1], None, row[2]))
+        else:
+            first[row[1]] = row
+    for ref, row in first.items():
+        mine = last.pop(ref, None) if ref is not None else None
+        kind = "unmatched_external" if mine is None else "matched" if mine[2] == row[2] else "amount_mismatch"
+        out.append((kind, ref, mine and mine[2], row[2]))
+    for ref, row in last.items():
+        out.append(("pending_reversal" if row[4] == "failed" and ref not in done else "unmatched_internal", ref, row[2], None))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blank_references(spark, seed):
+    rng = random.Random(seed)
+    refs = [None, "", "", "a", "b", "c"]
+    inside = [record(i, rng.choice(refs), rng.randint(1, 2), rng.choice(["transfer", "reversal"]), rng.choice(["settled", "failed"])) for i in range(rng.choice([0, 5, 40]))]
+    outside = [record(i, rng.choice(refs), rng.randint(1, 2)) for i in range(rng.choice([1, 40]))]
+    got = reconcile.classify(side(spark, inside), side(spark, outside))
+    rows = got.select("category", "reference", "internal.amount_minor", F.col("external.amount_minor").alias("e")).collect()
+    assert sorted(str(tuple(r)) for r in rows) == plain(inside, outside)
+
+
+def test_blank_references_meet_in_no_window(spark):
+    rows = side(spark, [record(1, "", 5)])
+    plan = reconcile.blank_ranked(rows).join(reconcile.blank_index(rows).drop("i"), "reference")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_reports_written_by_executors(spark, tmp_path):
     inside, outside = generate.fixture(spark, 30, 4, 5)
     got = reconcile.classify(inside, outside, 120)
