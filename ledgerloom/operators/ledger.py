@@ -123,6 +123,7 @@ def export(transactions: DataFrame, entries: DataFrame, accounts: DataFrame, sta
 
     The amount is the sum of the debits; destination is the first debited account and source the first
     credited one, by (created_at, id). With a window, only its transactions' entries are joined with accounts and aggregated.
+    Neither join sorts the entries; those that are dealt out by transaction stay where they are for the first.
     """
     rows = transactions
     if start is not None:
@@ -130,8 +131,8 @@ def export(transactions: DataFrame, entries: DataFrame, accounts: DataFrame, sta
     if end is not None:
         rows = rows.where(F.col("initiated_at") < end)
     if start is not None or end is not None:
-        entries = entries.join(rows.select(F.col("id").alias("_wanted")), F.col("transaction_id") == F.col("_wanted"), "left_semi")
-    coded = entries.join(accounts.select(F.col("id").alias("_account"), "code"), F.col("account_id") == F.col("_account"))
+        entries = entries.join(rows.select(F.col("id").alias("_wanted")).hint("shuffle_hash"), F.col("transaction_id") == F.col("_wanted"), "left_semi")
+    coded = entries.join(accounts.select(F.col("id").alias("_account"), "code").hint("shuffle_hash"), F.col("account_id") == F.col("_account"))
     at = F.struct("created_at", "id")
     debit, credit = F.col("direction") == "debit", F.col("direction") == "credit"
     sides = coded.groupBy("transaction_id").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import minor
 from ledgerloom.functions.rail import Chaos
 from ledgerloom.operators import lifecycle
+from ledgerloom.spread import partitions
 
 WINDOW_SECONDS = 120
 
@@ -76,16 +77,23 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
-    """Two entries a line: debit the customer, credit the supplier. ``broken`` lines differ in amount, currency, direction or sign, some in two of them."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    k = F.col("l_orderkey")
+    """Two entries a line: debit the customer, credit the supplier. ``broken`` lines differ in amount, currency, direction or sign, some in two of them.
+
+    Lines meet their orders by the transaction's id, so a posting's entries are together and later steps by transaction
+    find them in place. Only orders are held in memory, and never broadcast, so all sizes run in the same way.
+    """
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("transaction_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("_order"), "o_custkey")
+    n = partitions(line, orders)
+    # The projection after the shuffle also keeps Spark from dealing both sides out anew, to the session's number of partitions.
+    dealt = orders.repartition(n, "_order").select("_order", F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")).alias("_customer"))
+    rows = line.repartition(n, "transaction_id").join(dealt.hint("shuffle_hash"), F.col("transaction_id") == F.col("_order"))
+    k = F.col("transaction_id").cast("long")
     amount = minor(F.col("l_extendedprice"))
     other, foreign, none = (k % 97 == 0, k % 89 == 0, k % 79 == 0) if broken else (F.lit(False), F.lit(False), F.lit(False))
     each = F.explode(
         F.array(
-            F.struct(F.lit("debit").alias("direction"), F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")).alias("account_id"), F.when(none, 0).otherwise(amount).alias("amount_minor"), F.lit("NGN").alias("currency")),
+            F.struct(F.lit("debit").alias("direction"), F.col("_customer").alias("account_id"), F.when(none, 0).otherwise(amount).alias("amount_minor"), F.lit("NGN").alias("currency")),
             F.struct(
                 F.when(k % 83 == 0, "sideways").otherwise("credit").alias("direction") if broken else F.lit("credit").alias("direction"),
                 F.concat(F.lit("SUPP-"), F.col("l_suppkey").cast("string")).alias("account_id"),
@@ -94,8 +102,8 @@ def entries(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame
             ),
         )
     ).alias("e")
-    line_id = F.concat_ws("-", k.cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), minor(F.col("l_quantity")).cast("string"), amount.cast("string"))
-    rows = rows.select(line_id.alias("line_id"), k.cast("string").alias("transaction_id"), _at("l_shipdate").alias("created_at"), each)
+    line_id = F.concat_ws("-", "transaction_id", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), minor(F.col("l_quantity")).cast("string"), amount.cast("string"))
+    rows = rows.select(line_id.alias("line_id"), "transaction_id", _at("l_shipdate").alias("created_at"), each)
     return rows.select(F.concat_ws("-", "line_id", "e.direction").alias("id"), "transaction_id", "e.account_id", "e.direction", "e.amount_minor", "e.currency", "created_at")
 
 
