@@ -43,3 +43,21 @@ def test_export_shuffles_entries_by_account_once(spark):
     text = plan(QUERIES["export_window"][0](spark, DATA))
     assert "Broadcast" not in text
     assert text.count("Exchange hashpartitioning(account_id") == 1 and text.count("Exchange hashpartitioning(transaction_id") == 2  # lines, and what is aggregated
+
+
+def test_currency_conflicts_of_several_currencies(spark):
+    from ledgerloom.operators import audit
+
+    a = spark.createDataFrame([("n1", "NGN"), ("n2", "NGN"), ("u", "USD"), ("none", None)], "id string, currency string")
+    e = spark.createDataFrame([(f"{x}-{c}", x, c) for x in ("n1", "u", "none", "gone") for c in ("NGN", "USD", "EUR", None)], "id string, account_id string, currency string")
+    got = sorted((r["id"], r["account_currency"]) for r in audit.currency_conflicts(e, a).collect())
+    assert got == [("n1-EUR", "NGN"), ("n1-USD", "NGN"), ("u-EUR", "USD"), ("u-NGN", "USD")]
+    assert audit.currency_conflicts(e, a.where("currency is null")).isEmpty()
+
+
+@needs_data
+def test_entries_in_the_usual_currency_are_not_shuffled_to_accounts(spark):
+    df = QUERIES["currency_conflicts"][0](spark, DATA)
+    text = plan(df)
+    assert text.count("Exchange hashpartitioning(account_id") == 1 and "Broadcast" not in text
+    assert "currency = NGN" in text.split("Exchange hashpartitioning(account_id")[1]  # the filter on entries is below their shuffle
