@@ -49,8 +49,11 @@ def double_reversals(transactions: DataFrame) -> DataFrame:
 
 
 def orphans(rows: DataFrame, column: str, parents: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose reference to ``parents`` leads nowhere; null leads nowhere and is allowed."""
-    known = parents.select(F.col(key).alias("_parent")).distinct()
+    """Rows whose reference to ``parents`` leads nowhere; null leads nowhere and is allowed.
+
+    A task holds its share of the parents' keys in memory; the rows pass by them and are not sorted.
+    """
+    known = parents.select(F.col(key).alias("_parent")).hint("shuffle_hash")
     return rows.where(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_parent"), "left_anti")
 
 

@@ -80,14 +80,15 @@ def entries(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame
     """Two entries a line: debit the customer, credit the supplier. ``broken`` lines differ in amount, currency, direction or sign, some in two of them.
 
     Lines meet their orders by the transaction's id, so a posting's entries are together and later steps by transaction
-    find them in place. Only orders are held in memory, and never broadcast, so all sizes run in the same way.
+    find them in place. Orders are never broadcast, so all sizes run in the same way, and entries come in the order of
+    transactions, in which later shuffles compress better.
     """
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("transaction_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("_order"), "o_custkey")
     n = partitions(line, orders)
     # The projection after the shuffle also keeps Spark from dealing both sides out anew, to the session's number of partitions.
     dealt = orders.repartition(n, "_order").select("_order", F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")).alias("_customer"))
-    rows = line.repartition(n, "transaction_id").join(dealt.hint("shuffle_hash"), F.col("transaction_id") == F.col("_order"))
+    rows = line.repartition(n, "transaction_id").join(dealt.hint("merge"), F.col("transaction_id") == F.col("_order"))
     k = F.col("transaction_id").cast("long")
     amount = minor(F.col("l_extendedprice"))
     other, foreign, none = (k % 97 == 0, k % 89 == 0, k % 79 == 0) if broken else (F.lit(False), F.lit(False), F.lit(False))

@@ -45,6 +45,21 @@ def test_export_shuffles_entries_by_account_once(spark):
     assert text.count("Exchange hashpartitioning(account_id") == 1 and text.count("Exchange hashpartitioning(transaction_id") == 2  # lines, and what is aggregated
 
 
+@needs_data
+def test_foreign_keys_are_checked_without_sorts(spark):
+    text = plan(QUERIES["fk_violations"][0](spark, DATA))
+    assert text.count("ShuffledHashJoin") == 3 and "Broadcast" not in text
+    assert "Sort [account_id" not in text and "HashAggregate" not in text  # neither entries by account nor distinct parents
+
+
+def test_orphans_with_repeated_parents(spark):
+    from ledgerloom.operators import audit
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None), ("d", "x")], "id string, p string")
+    parents = spark.createDataFrame([("x",), ("x",), (None,)], "id string")
+    assert [r["id"] for r in audit.orphans(rows, "p", parents).collect()] == ["b"]
+
+
 def test_currency_conflicts_of_several_currencies(spark):
     from ledgerloom.operators import audit
 
