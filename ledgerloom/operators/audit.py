@@ -68,8 +68,8 @@ def fk_violations(transactions: DataFrame, entries: DataFrame, accounts: DataFra
 
 
 def unknown_accounts(entries: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Account codes that entries name and no account has."""
-    return orphans(entries, "account_id", accounts).groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
+    """Account codes that entries name and no account has, with the number of entries: counted before they meet the accounts."""
+    return orphans(entries.groupBy("account_id").agg(F.count(F.lit(1)).alias("n")), "account_id", accounts)
 
 
 def rewritten(before: DataFrame, after: DataFrame) -> DataFrame:

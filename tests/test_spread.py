@@ -60,6 +60,12 @@ def test_orphans_with_repeated_parents(spark):
     assert [r["id"] for r in audit.orphans(rows, "p", parents).collect()] == ["b"]
 
 
+@needs_data
+def test_unknown_accounts_are_counted_first(spark):
+    text = plan(QUERIES["unknown_accounts"][0](spark, DATA))
+    assert text.index("LeftAnti") < text.index("HashAggregate") and "Sort [account_id" not in text and "Broadcast" not in text
+
+
 def test_currency_conflicts_of_several_currencies(spark):
     from ledgerloom.operators import audit
 
