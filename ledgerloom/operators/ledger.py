@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import DIRECTIONS
+from ledgerloom.spread import partitions
 
 
 def account_sums(entries: DataFrame) -> DataFrame:
@@ -156,21 +157,25 @@ def journal_order(entries: DataFrame) -> DataFrame:
     return entries.orderBy("created_at", "id")
 
 
-def running_balances(accounts: DataFrame, entries: DataFrame, every: str = "day") -> DataFrame:
+def running_balances(accounts: DataFrame, entries: DataFrame, every: str = "month") -> DataFrame:
     """Each entry with its account's balance after it (an audit aid).
 
-    Entries are summed inside periods, and the periods' sums, at most one row a period and account, are
-    summed up apart, so an account of a third of all entries is as many tasks' work as there are periods.
+    Entries are dealt out once, by account and period, and summed inside periods; a period's last sum is its total. The totals,
+    at most one row a period and account, meet the accounts and are summed up apart. So an account of a third of all entries
+    is as many tasks' work as there are periods, and the entries themselves move no more for the accounts' types or the openings.
     """
-    rows = entries.join(accounts.select(F.col("id").alias("_account"), "type"), F.col("account_id") == F.col("_account"))
     debit, credit = F.when(F.col("direction") == "debit", F.col("amount_minor")).otherwise(F.lit(0)), F.when(F.col("direction") == "credit", F.col("amount_minor")).otherwise(F.lit(0))
-    rows = rows.select("id", "account_id", "created_at", F.coalesce(F.date_trunc(every, "created_at"), F.lit("0001-01-01").cast("timestamp")).alias("_period"), signed_balance(F.col("type"), debit, credit).alias("_x"))
+    period = F.coalesce(F.date_trunc(every, "created_at"), F.lit("0001-01-01").cast("timestamp"))
+    rows = entries.select("id", "account_id", "created_at", period.alias("_period"), (debit - credit).alias("_x"))
+    inside = Window.partitionBy("account_id", "_period").orderBy("created_at", "id")
+    upto = rows.repartition(partitions(entries, accounts), "account_id", "_period").withColumn("_inside", F.sum("_x").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # The same shuffle serves both: the totals are rows of what is summed already, not another aggregate of the entries.
+    totals = upto.withColumn("_next", F.lead(F.lit(1)).over(inside)).where("_next is null").select("account_id", "_period", F.col("_inside").alias("_total"))
     before = Window.partitionBy("account_id").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("account_id", "_period").agg(F.sum("_x").alias("_sum"))
-    opened = sums.select("account_id", "_period", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_opening"))
-    inside = Window.partitionBy("account_id", "_period").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = rows.withColumn("_inside", F.sum("_x").over(inside)).join(opened, ["account_id", "_period"])
-    return upto.select("id", "account_id", "created_at", (F.col("_opening") + F.col("_inside")).alias("balance_minor"))
+    known = totals.join(accounts.select(F.col("id").alias("_account"), "type").hint("shuffle_hash"), F.col("account_id") == F.col("_account"))
+    opened = known.select("account_id", "_period", "type", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_opening"))
+    joined = upto.join(opened.hint("merge"), ["account_id", "_period"])
+    return joined.select("id", "account_id", "created_at", signed_balance(F.col("type"), F.col("_opening") + F.col("_inside"), F.lit(0)).alias("balance_minor"))
 
 
 def conservation(accounts: DataFrame, entries: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:

@@ -82,3 +82,29 @@ def test_entries_in_the_usual_currency_are_not_shuffled_to_accounts(spark):
     text = plan(df)
     assert text.count("Exchange hashpartitioning(account_id") == 1 and "Broadcast" not in text
     assert "currency = NGN" in text.split("Exchange hashpartitioning(account_id")[1]  # the filter on entries is below their shuffle
+
+
+@needs_data
+def test_running_balances_deal_entries_out_once(spark):
+    df = QUERIES["running_balance"][0](spark, DATA)
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    assert "Broadcast" not in text and "ReusedExchange" in text
+
+
+def test_running_balances_over_periods(spark):
+    import random
+
+    from ledgerloom.operators import ledger
+
+    r = random.Random(5)
+    rows = [(f"e{i}", r.choice(["A", "L", "gone"]), r.choice(["debit", "credit"]), r.randrange(100), r.choice([None, f"20{r.randrange(10, 13)}-{r.randrange(1, 13):02}-{r.randrange(1, 28):02}"])) for i in range(300)]
+    e = spark.createDataFrame(rows, "id string, account_id string, direction string, amount_minor long, at string").withColumn("created_at", F.col("at").cast("timestamp"))
+    a = spark.createDataFrame([("A", "asset"), ("L", "liability")], "id string, type string")
+    want, sums = {}, {"A": 0, "L": 0}
+    for i, account, direction, amount, _ in sorted(rows, key=lambda x: (x[4] or "", x[0])):
+        if account in sums:
+            sums[account] += amount if (account == "A") == (direction == "debit") else -amount
+            want[i] = sums[account]
+    for every in ("day", "month", "year"):
+        assert {x["id"]: x["balance_minor"] for x in ledger.running_balances(a, e, every).collect()} == want
