@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.spread import partitions
+
 SIDE = ("transaction_id", "reference", "source", "destination", "amount_minor", "currency", "type", "status", "initiated_at", "settled_at", "metadata", "seq")
 
 
@@ -69,9 +71,12 @@ def classify(internal: DataFrame, external: DataFrame, window_seconds: float = 1
 
     Repeats of an external reference join the index at no cost of their own: they stay on their side of
     a union after the window, and only first occurrences go into the outer join. A null reference matches nothing.
+    Both sides are dealt out by reference in partitions of a fixed share of the input, which the windows and the join sort.
     """
     blank = F.coalesce(F.col("reference"), F.lit("")) == ""
-    named = outcomes(internal_index(internal.where(~blank)), external_ranked(external.where(~blank)), external.columns, window_seconds)
+    n = partitions(internal, external)
+    dealt = lambda rows: rows.where(~blank).repartition(n, "reference")
+    named = outcomes(internal_index(dealt(internal)), external_ranked(dealt(external)), external.columns, window_seconds)
     return named.unionByName(outcomes(blank_index(internal.where(blank)), blank_ranked(external.where(blank)), external.columns, window_seconds))
 
 

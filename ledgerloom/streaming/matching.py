@@ -18,9 +18,10 @@ def match_batch(internal: DataFrame, external: DataFrame, seen: DataFrame | None
     if seen is None:
         fresh, again = external, external.limit(0)
     else:
+        seen = seen.hint("shuffle_hash")  # held by share; repeated references do no harm
         fresh, again = external.join(seen, "reference", "left_anti").select(*external.columns), external.join(seen, "reference", "left_semi").select(*external.columns)
-    wanted = internal.join(fresh.select("reference").distinct(), "reference", "left_semi").select(*internal.columns)
-    out = reconcile.classify(wanted, fresh, window_seconds)
+    # What has an external row is the batch's; internal rows without one are left to the end.
+    out = reconcile.classify(internal, fresh, window_seconds).where("external is not null")
     repeats = reconcile.repeats(again, out)
     return out.unionByName(repeats)
 
@@ -30,10 +31,10 @@ def match_stream(spark: SparkSession, internal: DataFrame, source: str, work: st
 
     def batch(rows: DataFrame, number: int) -> None:
         done = [n for n in folders(spark, f"{work}/outcomes") if n < number]
-        seen = spark.read.parquet(*[f"{work}/outcomes/{n}" for n in done]).select("reference").distinct() if done else None
+        seen = spark.read.parquet(*[f"{work}/outcomes/{n}" for n in done]).select("reference") if done else None
         match_batch(internal, rows, seen, window_seconds).write.mode("overwrite").parquet(f"{work}/outcomes/{number}")
 
     run_available(spark, source, work, batch, files_per_batch=files_per_batch)
     done = spark.read.parquet(*[f"{work}/outcomes/{n}" for n in folders(spark, f"{work}/outcomes")])
-    left = internal.join(done.select("reference").distinct(), "reference", "left_anti").select(*internal.columns)
+    left = internal.join(done.select("reference").hint("shuffle_hash"), "reference", "left_anti").select(*internal.columns)
     return done.unionByName(reconcile.classify(left, spark.createDataFrame([], internal.schema), window_seconds))

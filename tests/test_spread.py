@@ -108,3 +108,17 @@ def test_running_balances_over_periods(spark):
             want[i] = sums[account]
     for every in ("day", "month", "year"):
         assert {x["id"]: x["balance_minor"] for x in ledger.running_balances(a, e, every).collect()} == want
+
+
+def test_a_streamed_batch_sorts_its_sides_for_the_match_only(spark):
+    from ledgerloom.sources import generate
+    from ledgerloom.streaming.matching import match_batch
+
+    inside, outside = generate.fixture(spark, 200, 5, 7)
+    seen = outside.where("seq % 3 = 0").select("reference").unionByName(outside.where("seq % 3 = 0").select("reference"))
+    df = match_batch(inside, outside, seen)
+    known = {r["reference"] for r in seen.collect()}
+    got = df.collect()
+    assert sum(r["category"] == "duplicate" and r["reference"] in known for r in got) == sum(r["reference"] in known for r in outside.collect()) > 0
+    assert len(got) == outside.count() and all(r["external"] is not None for r in got)
+    assert "ShuffledHashJoin" in (text := plan(df)) and "REPARTITION_BY_NUM" in text
