@@ -122,3 +122,12 @@ def test_a_streamed_batch_sorts_its_sides_for_the_match_only(spark):
     assert sum(r["category"] == "duplicate" and r["reference"] in known for r in got) == sum(r["reference"] in known for r in outside.collect()) > 0
     assert len(got) == outside.count() and all(r["external"] is not None for r in got)
     assert "ShuffledHashJoin" in (text := plan(df)) and "REPARTITION_BY_NUM" in text
+
+
+@needs_data
+def test_an_export_to_files_broadcasts_nothing(spark):
+    from ledgerloom.operators import ledger
+
+    start, end = (F.lit(x).cast("timestamp") for x in ("1995-01-01", "1996-01-01"))
+    text = plan(ledger.export(D.transactions(spark, DATA), D.entries(spark, DATA), D.accounts(spark, DATA), start, end).orderBy("initiated_at", "transaction_id"))
+    assert "Broadcast" not in text and text.count("ShuffledHashJoin") == 2
