@@ -124,25 +124,31 @@ def export(transactions: DataFrame, entries: DataFrame, accounts: DataFrame, sta
 
     The amount is the sum of the debits; destination is the first debited account and source the first
     credited one, by (created_at, id). With a window, only its transactions' entries are joined with accounts and aggregated.
-    Neither join sorts the entries; those that are dealt out by transaction stay where they are for the first.
+    Entries that are dealt out by transaction stay where they are until those of one transaction, account and direction are
+    one row; only these rows move, once to the accounts and once back, then in partitions of a fixed share. No join sorts
+    the entries, and none becomes a broadcast join where tables are small.
     """
     rows = transactions
     if start is not None:
         rows = rows.where(F.col("initiated_at") >= start)
     if end is not None:
         rows = rows.where(F.col("initiated_at") < end)
+    n = partitions(entries, accounts)
     if start is not None or end is not None:
         entries = entries.join(rows.select(F.col("id").alias("_wanted")).hint("shuffle_hash"), F.col("transaction_id") == F.col("_wanted"), "left_semi")
-    coded = entries.join(accounts.select(F.col("id").alias("_account"), "code").hint("shuffle_hash"), F.col("account_id") == F.col("_account"))
     at = F.struct("created_at", "id")
     debit, credit = F.col("direction") == "debit", F.col("direction") == "credit"
-    sides = coded.groupBy("transaction_id").agg(
-        F.sum(F.when(debit, F.col("amount_minor"))).alias("_amount"),
-        F.min_by(F.when(debit, F.col("code")), F.when(debit, at)).alias("_debited"),
-        F.min_by(F.when(credit, F.col("code")), F.when(credit, at)).alias("_credited"),
-        F.min_by("currency", at).alias("_currency"),
+    sums = entries.groupBy("transaction_id", "account_id", "direction").agg(
+        F.sum(F.when(debit, F.col("amount_minor"))).alias("_sum"), F.min(at).alias("_at"), F.min_by("currency", at).alias("_first_currency")
     )
-    joined = rows.join(sides, rows["id"] == sides["transaction_id"], "left")
+    coded = sums.join(accounts.select(F.col("id").alias("_account"), "code").hint("shuffle_hash"), F.col("account_id") == F.col("_account"))
+    sides = coded.drop("account_id", "_account").repartition(n, "transaction_id").groupBy("transaction_id").agg(
+        F.sum("_sum").alias("_amount"),
+        F.min_by(F.when(debit, F.col("code")), F.when(debit, F.col("_at"))).alias("_debited"),
+        F.min_by(F.when(credit, F.col("code")), F.when(credit, F.col("_at"))).alias("_credited"),
+        F.min_by("_first_currency", "_at").alias("_currency"),
+    )
+    joined = rows.join(sides.hint("merge"), rows["id"] == sides["transaction_id"], "left")
     return joined.select(
         F.col("id").alias("transaction_id"), "reference", F.coalesce("_credited", F.lit("")).alias("source"), F.coalesce("_debited", F.lit("")).alias("destination"),
         F.coalesce("_amount", F.lit(0)).alias("amount_minor"), F.coalesce("_currency", F.lit("")).alias("currency"), "type", "status", "initiated_at", "settled_at", "metadata",
